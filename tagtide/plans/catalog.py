@@ -27,6 +27,9 @@ from tagtide.session import read_table, scratch_path
 from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, iob_lines, part_dim,
                                     registry, tagged_tokens)
 from tagtide.sources.iob import read_predictions, sentence_block, write_predictions
+from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
+from tagtide.streaming.status import (EVENT_TERMINAL_STATES, all_terminal, first_state, job_events,
+                                      latest_state, stream_latest_state)
 
 SPLIT_ORDER = ["part_rank", "doc_id", "line_no"]
 MIX_K = 10
@@ -305,6 +308,51 @@ def feature_lookup(spark: SparkSession, sf: str) -> DataFrame:
                       F.array_max("features").cast("double").alias("f_max"))
 
 
+# ---- job state and streams ---------------------------------------------------
+
+def latest_state_q(spark: SparkSession, sf: str) -> DataFrame:
+    return latest_state(job_events(read_table(spark, sf, "events")))
+
+
+def all_terminal_q(spark: SparkSession, sf: str) -> DataFrame:
+    return all_terminal(latest_state(job_events(read_table(spark, sf, "events"))), EVENT_TERMINAL_STATES)
+
+
+def first_state_q(spark: SparkSession, sf: str) -> DataFrame:
+    return first_state(job_events(read_table(spark, sf, "events")))
+
+
+def stream_latest_state_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Events dropped into a folder as files, drained by the streaming aggregate."""
+    events = read_table(spark, sf, "events")
+    src, table, ckpt = (scratch_path(spark, n) for n in ("events-src", "latest", "latest-ckpt"))
+    n = max(1, spark.sparkContext.defaultParallelism)
+    events.repartitionByRange(n, "ts", "event_id").write.parquet(src)
+    stream_latest_state(spark, src, events.schema.simpleString()[len("struct<"):-1].replace(":", " "),
+                        table, ckpt)
+    return spark.read.parquet(table)
+
+
+def stream_lines_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns rolled into line files and tailed by the file stream."""
+    lines = conversation_lines(read_table(spark, sf, "conversations"))
+    src, table, ckpt = (scratch_path(spark, n) for n in ("lines-src", "lines", "lines-ckpt"))
+    n = max(1, spark.sparkContext.defaultParallelism)
+    lines.repartitionByRange(n, "conv_id", "turn", "line_no").write.json(src)
+    stream_lines(spark, src, table, ckpt)
+    return spark.read.parquet(table)
+
+
+def stream_score_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences arriving as files, scored by a running streaming sum."""
+    sents = corpus(spark, sf).select("lang", "doc_id", "line_no", "gold", "pred")
+    src, table, ckpt = (scratch_path(spark, n) for n in ("sent-src", "score", "score-ckpt"))
+    n = max(1, spark.sparkContext.defaultParallelism)
+    sents.repartitionByRange(n, "doc_id", "line_no").write.parquet(src)
+    stream_score(spark, src, table, ckpt)
+    return spark.read.parquet(table).select(*SCORE_COLS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iob_sentences": iob_sentences,
     "iob_flat_sequence": iob_flat_sequence,
@@ -337,4 +385,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prediction_lines_compat": prediction_lines_compat,
     "prediction_file_score": prediction_file_score,
     "feature_lookup": feature_lookup,
+    "latest_state": latest_state_q,
+    "all_terminal": all_terminal_q,
+    "first_state": first_state_q,
+    "stream_latest_state": stream_latest_state_q,
+    "stream_lines": stream_lines_q,
+    "stream_score": stream_score_q,
 }

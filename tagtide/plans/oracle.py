@@ -373,6 +373,37 @@ SELECT l.lang, l.iso, f.vec_id, CAST(len(f.features) AS BIGINT) AS n_features,
 FROM langs l LEFT JOIN feats f USING (iso)"""
 
 
+LATEST = """
+SELECT job, state, n_events FROM (
+  SELECT user_id AS job, event_type AS state,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
+         CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS n_events
+  FROM events) WHERE rn = 1"""
+
+
+def _all_terminal() -> str:
+    from tagtide.streaming.status import EVENT_TERMINAL_STATES
+    cond = " OR ".join(f"starts_with(state, {_q(t)})" for t in EVENT_TERMINAL_STATES)
+    return f"""WITH latest AS ({LATEST})
+SELECT CAST(count(*) AS BIGINT) AS n_jobs, CAST(count_if({cond}) AS BIGINT) AS n_terminal,
+       CAST(COALESCE(bool_and({cond}), true) AS INT) AS all_done FROM latest"""
+
+
+FIRST = """
+WITH f AS (
+  SELECT user_id AS job, trim(event_type) AS state,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events WHERE trim(event_type) <> ''),
+jobs AS (SELECT DISTINCT user_id AS job FROM events)
+SELECT j.job, COALESCE(f.state, 'UNKNOWN') AS state FROM jobs j LEFT JOIN f ON f.job = j.job AND f.rn = 1"""
+
+LINES = """
+SELECT conv_id, turn, CAST(line_no AS BIGINT) AS line_no, line FROM (
+  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS line_no
+  FROM conversations)"""
+
+
 def oracle_sql() -> dict[str, str]:
     spl_cols = "lang, doc_id, line_no, split_ord"
     return {
@@ -433,6 +464,12 @@ GROUP BY t.doc_id, t.line_no""",
         "prediction_lines_compat": _compat(),
         "prediction_file_score": _score_en_test(),
         "feature_lookup": _features(),
+        "latest_state": LATEST,
+        "all_terminal": _all_terminal(),
+        "first_state": FIRST,
+        "stream_latest_state": LATEST,
+        "stream_lines": LINES,
+        "stream_score": _score(),
     }
 
 
