@@ -353,6 +353,18 @@ def stream_score_q(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(table).select(*SCORE_COLS)
 
 
+# ---- token classifier ----------------------------------------------------------
+
+def token_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Train on the balanced train mix, score on the balanced test sets."""
+    from tagtide.operators.model import train_and_score
+    train, test = _split_samples(spark, sf, "all")
+    sp = with_splits(spark, sf).select("lang", "doc_id", "line_no", "words", "gold")
+    keys = ["lang", "doc_id", "line_no"]
+    return train_and_score(train.select(*keys).join(sp, keys), test.select(*keys).join(sp, keys),
+                           model_path=scratch_path(spark, "model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iob_sentences": iob_sentences,
     "iob_flat_sequence": iob_flat_sequence,
@@ -391,4 +403,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_latest_state": stream_latest_state_q,
     "stream_lines": stream_lines_q,
     "stream_score": stream_score_q,
+    "token_classifier": token_classifier,
 }
