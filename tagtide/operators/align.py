@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.functions.pieces import END_PIECE, PAD_PIECE, START_PIECE, fixed_width_sql
@@ -21,18 +21,25 @@ DEFAULT_MAX_PIECES = 64
 
 def align(sentences: DataFrame, words: str = "words", tags: dict[str, str] | None = None,
           max_pieces: int = DEFAULT_MAX_PIECES, width: int = 4, mode: str = "reference",
-          keep: Sequence[str] | None = None) -> DataFrame:
+          keep: Sequence[str] | None = None, pieces: Column | None = None) -> DataFrame:
     """Add pieces, word_ids, attention_mask, one label array per tag column,
     ``n_pieces`` (before the cut) and ``lost`` (pieces cut away).
 
     ``tags`` maps output label column -> tag array column, default
-    ``{"labels": "gold"}``.
+    ``{"labels": "gold"}``.  ``pieces`` optionally gives the pieces of every
+    word (array<array<string>>, e.g. from ``functions.vocab``); by default
+    words are cut into ``width``-character pieces.
     """
     tags = tags or {"labels": "gold"}
     room = max_pieces - 2
-    flat = (f"flatten(transform(transform(`{words}`, w -> {fixed_width_sql('w', width)}), "
-            f"(ps, i) -> transform(ps, (p, j) -> named_struct('wid', i, 'first', j = 0, 'piece', p))))")
-    df = sentences.withColumn("_flat", F.expr(flat))
+    if pieces is None:
+        nested = f"transform(`{words}`, w -> {fixed_width_sql('w', width)})"
+        df = sentences.withColumn("_nested", F.expr(nested))
+    else:
+        df = sentences.withColumn("_nested", pieces)
+    flat = ("flatten(transform(_nested, "
+            "(ps, i) -> transform(ps, (p, j) -> named_struct('wid', i, 'first', j = 0, 'piece', p))))")
+    df = df.withColumn("_flat", F.expr(flat)).drop("_nested")
     df = df.withColumn("_kept", F.expr(f"slice(_flat, 1, {room})"))
     pad = f"{room} - size(_kept)"
     ign = f"cast({IGNORE_ID} as tinyint)"

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagtide.session import scratch_path
+
 
 def classify_lines(lines: DataFrame, comment: str = "start", word_field: int = 1,
                    tag_field: int = 2, strict_fields: int | None = None,
@@ -79,18 +81,31 @@ def group_sentences(lines: DataFrame, file_cols: Sequence[str], order: Sequence[
     item = F.struct(*[F.col(k) for k in okeys], "kind", "word", "tag", *extra, "raw")
     frags = rows.groupBy(*files, *chunk_cols, "_local").agg(
         F.array_sort(F.collect_list(item)).alias("_items"),
-        F.max(F.when(F.col("kind") == "b", 1).otherwise(0)).alias("_closed"))
+        F.max(F.when(F.col("kind") == "b", 1).otherwise(0)).alias("_closed"),
+        F.max(F.when(F.col("kind") == "w", 1).otherwise(0)).alias("_has_words"))
+    # the fragments feed four consumers (chunk totals, last sentence with
+    # words, whole sentences, edges): write them once to the shared folder so
+    # the sort, window and collect above the shuffle run a single time
+    spark = lines.sparkSession
+    path = scratch_path(spark, "fragments")
+    frags.write.parquet(path)
+    frags = spark.read.parquet(path)
     totals = frags.groupBy(*files, *chunk_cols).agg(F.sum("_closed").alias("_blanks"))
     ow = Window.partitionBy(*files).orderBy(*chunk_cols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*files, *chunk_cols,
                             F.coalesce(F.sum("_blanks").over(ow), F.lit(0)).cast("bigint").alias("_off"))
-    frags = frags.join(offsets, on=[*files, *chunk_cols]).withColumn(
+    numbered = frags.join(offsets, on=[*files, *chunk_cols]).withColumn(
         "sent_ord", F.col("_off") + F.col("_local"))
+    # empty sentences at the end of a file are dropped; a file without words
+    # keeps its first sentence
+    last = numbered.where(F.col("_has_words") == 1).groupBy(*files).agg(F.max("sent_ord").alias("_last"))
+    numbered = (numbered.join(last, on=files, how="left")
+                .where(F.col("sent_ord") <= F.coalesce(F.col("_last"), F.lit(0))))
     # a fragment that starts its chunk, or is not closed by a blank, may
     # continue in a neighbouring chunk; everything else is a whole sentence
     edge = (F.col("_local") == 0) | (F.col("_closed") == 0)
-    whole = frags.where(~edge).select(*files, "sent_ord", "_items")
-    stitched = (frags.where(edge)
+    whole = numbered.where(~edge).select(*files, "sent_ord", "_items")
+    stitched = (numbered.where(edge)
                 .groupBy(*files, "sent_ord")
                 .agg(F.array_sort(F.collect_list(F.struct(*chunk_cols, "_items"))).alias("_parts"))
                 .select(*files, "sent_ord", F.flatten(F.transform("_parts", lambda p: p["_items"])).alias("_items")))
@@ -103,7 +118,7 @@ def group_sentences(lines: DataFrame, file_cols: Sequence[str], order: Sequence[
                     lambda x: F.when(x["kind"] == "w", x["word"]).otherwise(x["raw"])).alias("raw"),
         *[F.transform(F.filter("_items", lambda x: x["kind"] == "w"), _field(name)).alias(name)
           for name in extra])
-    return drop_trailing_empty(sents, files)
+    return sents
 
 
 def _field(name: str):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tagtide.functions.tags import id_tag, tag_id
 from tagtide.operators.align import decoded_words, flat_chunks
 from tagtide.operators.islands import classify_lines, group_sentences
-from tagtide.operators.metrics import score, span_errors as span_error_rows, span_rows, with_span_counts
+from tagtide.operators.metrics import score, score_by_type, span_errors as span_error_rows, span_rows
 from tagtide.operators.order import doc_chunk, ordinal
 from tagtide.operators.predict import argmax, compat_lines, masked_pairs
 from tagtide.operators.report import density
@@ -23,7 +23,7 @@ from tagtide.operators.sample import sample_preserving_density
 from tagtide.operators.splits import quotas, smallest_sets
 from tagtide.plans.base import (LINE_CHUNK, ORDER, aligned, corpus, joined, sizes,
                                 split_chunk, with_splits)
-from tagtide.session import read_table, scratch_path
+from tagtide.session import read_table, scratch_path, small_table
 from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, iob_lines, part_dim,
                                     registry, tagged_tokens)
 from tagtide.sources.iob import read_predictions, sentence_block, write_predictions
@@ -138,8 +138,8 @@ def train_dev_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def density_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Every language sampled to the size of the smallest language."""
-    a = aligned(spark, sf).select("lang", "doc_id", "line_no", "ents")
-    n = a.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.min("n").alias("size"))
+    a = with_splits(spark, sf).select("lang", "doc_id", "line_no", "ents")
+    n = small_table(a.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.min("n").alias("size")))
     a = a.crossJoin(F.broadcast(n))
     s = sample_preserving_density(a, ["lang"], ORDER, [doc_chunk("doc_id")])
     return s.select("lang", "doc_id", "line_no", F.col("ents").cast("bigint").alias("ents"),
@@ -149,7 +149,7 @@ def density_sample(spark: SparkSession, sf: str) -> DataFrame:
 def _split_samples(spark: SparkSession, sf: str, target: str = "all", k: int = MIX_K):
     sp = with_splits(spark, sf).select("lang", "split", "part_rank", "doc_id", "line_no",
                                        "split_ord", "ents")
-    q = F.broadcast(quotas(sizes(spark, sf), registry(spark), DEFAULT_TARGETS, target, k))
+    q = F.broadcast(small_table(quotas(sizes(spark, sf), registry(spark), DEFAULT_TARGETS, target, k)))
     train = (sp.where(F.col("split") == "train")
              .join(q.select("lang", F.col("train_quota").alias("size")), "lang")
              .where(F.col("size") > 0))
@@ -183,7 +183,7 @@ def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
         g = quotas(sz, reg, DEFAULT_TARGETS, t, MIX_K).select(
             F.lit(t).alias("target_lang"), "lang", F.col("train_quota").alias("size"))
         grid = g if grid is None else grid.unionByName(g)
-    grid = F.broadcast(grid.where(F.col("size") > 0))
+    grid = F.broadcast(small_table(grid.where(F.col("size") > 0)))
     sp = with_splits(spark, sf).where(F.col("split") == "train").select(
         "lang", "split", "part_rank", "doc_id", "line_no", "ents")
     # one copy of a language per distinct quota (at most two), not per target
@@ -259,6 +259,12 @@ def score_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     return score(corpus(spark, sf), ["lang"]).select("lang", *SCORE_COLS)
 
 
+def score_by_type_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Per entity type (an extension: the overall figures drop these)."""
+    return score_by_type(corpus(spark, sf)).select("type", "n_pred", "n_gold", "tp",
+                                                   "precision", "recall", "f1")
+
+
 def _en_test(spark: SparkSession, sf: str) -> DataFrame:
     return with_splits(spark, sf).where((F.col("lang") == "en") & (F.col("split") == "test"))
 
@@ -337,8 +343,7 @@ def stream_lines_q(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns rolled into line files and tailed by the file stream."""
     lines = conversation_lines(read_table(spark, sf, "conversations"))
     src, table, ckpt = (scratch_path(spark, n) for n in ("lines-src", "lines", "lines-ckpt"))
-    n = max(1, spark.sparkContext.defaultParallelism)
-    lines.repartitionByRange(n, "conv_id", "turn", "line_no").write.json(src)
+    lines.write.json(src)
     stream_lines(spark, src, table, ckpt)
     return spark.read.parquet(table)
 
@@ -347,8 +352,7 @@ def stream_score_q(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences arriving as files, scored by a running streaming sum."""
     sents = corpus(spark, sf).select("lang", "doc_id", "line_no", "gold", "pred")
     src, table, ckpt = (scratch_path(spark, n) for n in ("sent-src", "score", "score-ckpt"))
-    n = max(1, spark.sparkContext.defaultParallelism)
-    sents.repartitionByRange(n, "doc_id", "line_no").write.parquet(src)
+    sents.write.parquet(src)    # one file per task: the producer's rolled files
     stream_score(spark, src, table, ckpt)
     return spark.read.parquet(table).select(*SCORE_COLS)
 
@@ -393,6 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "span_errors": span_errors,
     "score_overall": score_overall,
     "score_by_lang": score_by_lang,
+    "score_by_type": score_by_type_q,
     "prediction_lines": prediction_lines,
     "prediction_lines_compat": prediction_lines_compat,
     "prediction_file_score": prediction_file_score,

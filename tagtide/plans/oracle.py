@@ -221,6 +221,22 @@ SELECT {sel}n_pred, n_gold, tp, n_tok, n_eq, CAST(precision AS DOUBLE) AS precis
 FROM r"""
 
 
+def _score_by_type() -> str:
+    return f"""{SPANS},
+types AS (SELECT type FROM gold_spans UNION SELECT type FROM pred_spans),
+c AS (
+  SELECT t.type,
+         CAST((SELECT count(*) FROM pred_spans p WHERE p.type = t.type) AS BIGINT) AS n_pred,
+         CAST((SELECT count(*) FROM gold_spans g WHERE g.type = t.type) AS BIGINT) AS n_gold,
+         CAST((SELECT count(*) FROM tp_spans x WHERE x.type = t.type) AS BIGINT) AS tp
+  FROM types t),
+r AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+                CASE WHEN n_gold > 0 THEN tp / n_gold ELSE 0.0 END AS recall FROM c)
+SELECT type, n_pred, n_gold, tp, CAST(precision AS DOUBLE) AS precision, CAST(recall AS DOUBLE) AS recall,
+       CAST(CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS DOUBLE) AS f1
+FROM r"""
+
+
 def _labels_sql() -> str:
     """CTE ``lab``: per sentence, the 64 gold label ids and 64 predicted label ids."""
     return f"""
@@ -456,6 +472,7 @@ UNION ALL SELECT doc_id, line_no, 'fn' AS kind, type, b, e FROM (SELECT doc_id,
   EXCEPT SELECT doc_id, line_no, type, b, e FROM pred_spans)""",
         "score_overall": _score(),
         "score_by_lang": _score("lang"),
+        "score_by_type": _score_by_type(),
         "prediction_lines": f"""{SPLITS}
 SELECT t.doc_id, t.line_no,
        string_agg('1' || chr(9) || t.word || chr(9) || t.pred || chr(9) || t.gold, chr(10) ORDER BY t.pos) AS block

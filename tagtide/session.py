@@ -71,6 +71,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tagtide-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Evaluate a bounded table (one row per language, split, ...) once and
+    return it as a local single-partition DataFrame.
+
+    Raises instead of truncating when the table is larger than ``max_rows``.
+    Downstream plans then carry a literal table instead of the whole
+    sub-plan, and the check runs once, before the large jobs start.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected a bounded table of at most {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the parquet tables of a data directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

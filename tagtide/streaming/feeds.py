@@ -22,9 +22,10 @@ def conversation_lines(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
-def stream_lines(spark: SparkSession, source: str, table: str, checkpoint: str) -> None:
+def stream_lines(spark: SparkSession, source: str, table: str, checkpoint: str,
+                 files_per_trigger: int = 4) -> None:
     """Append every line record of the source folder to ``table`` (exactly once)."""
-    lines = spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", 4).json(source)
+    lines = spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(source)
     q = (lines.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(table))
     q.awaitTermination()
@@ -34,9 +35,11 @@ SENTENCE_SCHEMA = "lang string, doc_id bigint, line_no bigint, gold array<string
 COUNT_COLS = ["n_pred", "n_gold", "tp", "n_tok", "n_eq"]
 
 
-def stream_score(spark: SparkSession, source: str, table: str, checkpoint: str) -> None:
+def stream_score(spark: SparkSession, source: str, table: str, checkpoint: str,
+                 files_per_trigger: int = 4) -> None:
     """Running span score over sentence files: per-sentence counts, summed in state."""
-    sents = spark.readStream.schema(SENTENCE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    sents = (spark.readStream.schema(SENTENCE_SCHEMA)
+             .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
     counts = with_span_counts(sents, "gold", "pred")
     totals = counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNT_COLS])
 

@@ -59,13 +59,14 @@ def all_terminal(latest: DataFrame, terminal: Sequence[str] = TERMINAL_STATES) -
 
 
 def stream_latest_state(spark: SparkSession, source: str, schema: str, table: str,
-                        checkpoint: str, watermark: str = "1 day") -> None:
+                        checkpoint: str, watermark: str = "1 day", files_per_trigger: int = 4) -> None:
     """Run the latest-state aggregation over a folder of event files to completion.
 
     Each micro-batch rewrites the complete per-job table (idempotent per batch);
     the checkpoint holds the file offsets and the state store.
     """
-    ev = job_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
+    ev = job_events(spark.readStream.schema(schema)
+                    .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
     latest = (ev.withWatermark("ts", watermark).groupBy("job").agg(
         F.max_by("state", F.struct("ts", "event_id")).alias("state"),
         F.count(F.lit(1)).cast("bigint").alias("n_events")))

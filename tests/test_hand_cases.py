@@ -253,3 +253,15 @@ def test_split_sizes_three_files(spark):
     assert {(r.split, r.n) for r in split_sizes(df, ["en"]).collect()} == {("train", 6), ("test", 3)}
     s = assign_splits(df, ["en"]).where("part = 'dev'").collect()
     assert sorted(r.split_ord for r in s) == [4, 5]
+
+
+def test_vocab_splitter_greedy_longest_match(spark):
+    from tagtide.functions.vocab import greedy_pieces, vocab_splitter
+    vocab = frozenset(["Argent", "Arg", "##inian", "##in", "##ian", "is", "[UNK]"])
+    assert greedy_pieces("Argentinian", vocab) == ["Argent", "##inian"]
+    assert greedy_pieces("Argxyz", vocab) == ["[UNK]"]
+    split = vocab_splitter(spark, vocab)
+    df = spark.createDataFrame([(["Argentinian", "is"], ["B-LOC", "O"])], "words array<string>, gold array<string>")
+    r = align(df, pieces=split("words")).first()
+    assert r.pieces[:5] == ["[CLS]", "Argent", "##inian", "is", "[SEP]"]
+    assert r.labels[:5] == [-100, 5, -100, 0, -100]

@@ -67,3 +67,14 @@ def test_seeded_shuffle_is_a_permutation_of_the_mix(spark):
     keys = a.select("shuffle_key").collect()
     assert len({k.shuffle_key for k in keys}) == len(keys)
     assert sorted(a.collect()) == sorted(QUERIES["seeded_shuffle"](spark, SMALL).collect())
+
+
+def test_model_selection_keeps_best(spark):
+    from tagtide.operators.model import select_model
+    train, test = _split_samples(spark, SMALL, "all")
+    sp = base.with_splits(spark, SMALL).select("lang", "doc_id", "line_no", "words", "gold")
+    keys = ["lang", "doc_id", "line_no"]
+    model, scores = select_model(train.select(*keys).join(sp, keys), test.select(*keys).join(sp, keys),
+                                 iterations=(2, 8))
+    assert [i for i, _ in scores] == [2, 8]
+    assert model is not None and all(0.0 <= f <= 1.0 for _, f in scores)
