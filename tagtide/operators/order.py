@@ -51,9 +51,9 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str | Colu
                .rowsBetween(Window.unboundedPreceding, -1))
     local = base.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(local_w), F.lit(0)).alias(f"_loc_{k}")
                               for k in values])
-    # totals come from the window's output: it is already clustered by
-    # (group, chunk), so this aggregate reuses the same shuffle instead of
-    # recomputing the upstream scan
+    # Catalyst prunes the unused window from this branch and turns it into a
+    # map-side partial aggregate over the input; callers write expensive
+    # inputs to a table first so that this re-read is a pruned scan
     totals = local.groupBy(*group, *chunk_cols).agg(*[F.sum(f"_v_{k}").alias(f"_tot_{k}") for k in values])
     chunk_w = (Window.partitionBy(*group).orderBy(*chunk_cols)
                .rowsBetween(Window.unboundedPreceding, -1))
