@@ -68,9 +68,12 @@ def group_sentences(lines: DataFrame, file_cols: Sequence[str], order: Sequence[
     chunk_cols = [f"_c{i}" for i in range(len(chunk))]
     extra = extra or {}
     rows = classify_lines(lines, comment, word_field, tag_field, extra=extra)
+    # one text per line: the word of a word line, the line itself for a
+    # comment (the raw view), nothing for a blank
+    text = F.when(F.col("kind") == "c", F.col("value")).otherwise(F.col("word"))
     rows = rows.select(*files, *[c.alias(n) for c, n in zip(chunk, chunk_cols)],
                        *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
-                       "kind", "word", "tag", *extra, F.col("value").alias("raw"))
+                       "kind", text.alias("text"), "tag", *extra)
     okeys = [f"_o{i}" for i in range(len(order))]
     w = (Window.partitionBy(*files, *chunk_cols).orderBy(*okeys)
          .rowsBetween(Window.unboundedPreceding, -1))
@@ -78,7 +81,7 @@ def group_sentences(lines: DataFrame, file_cols: Sequence[str], order: Sequence[
         F.sum(F.when(F.col("kind") == "b", 1).otherwise(0)).over(w), F.lit(0)).cast("bigint"))
     # fragments: the window output is clustered by (file, chunk), so grouping
     # by (file, chunk, local) needs no new exchange
-    item = F.struct(*[F.col(k) for k in okeys], "kind", "word", "tag", *extra, "raw")
+    item = F.struct(*[F.col(k) for k in okeys], "kind", "text", "tag", *extra)
     frags = rows.groupBy(*files, *chunk_cols, "_local").agg(
         F.array_sort(F.collect_list(item)).alias("_items"),
         F.max(F.when(F.col("kind") == "b", 1).otherwise(0)).alias("_closed"),
@@ -112,10 +115,9 @@ def group_sentences(lines: DataFrame, file_cols: Sequence[str], order: Sequence[
     sents = whole.unionByName(stitched)
     sents = sents.select(
         *files, "sent_ord",
-        F.transform(F.filter("_items", lambda x: x["kind"] == "w"), lambda x: x["word"]).alias("words"),
+        F.transform(F.filter("_items", lambda x: x["kind"] == "w"), lambda x: x["text"]).alias("words"),
         F.transform(F.filter("_items", lambda x: x["kind"] == "w"), lambda x: x["tag"]).alias("tags"),
-        F.transform(F.filter("_items", lambda x: x["kind"] != "b"),
-                    lambda x: F.when(x["kind"] == "w", x["word"]).otherwise(x["raw"])).alias("raw"),
+        F.transform(F.filter("_items", lambda x: x["kind"] != "b"), lambda x: x["text"]).alias("raw"),
         *[F.transform(F.filter("_items", lambda x: x["kind"] == "w"), _field(name)).alias(name)
           for name in extra])
     return sents

@@ -26,7 +26,7 @@ from tagtide.plans.base import (LINE_CHUNK, ORDER, aligned, corpus, joined, size
 from tagtide.session import read_table, scratch_path, small_table
 from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, iob_lines, part_dim,
                                     registry, tagged_tokens)
-from tagtide.sources.iob import read_predictions, sentence_block, write_predictions
+from tagtide.sources.iob import read_predictions, read_sentences, sentence_block, write_predictions
 from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
 from tagtide.streaming.status import (EVENT_TERMINAL_STATES, all_terminal, first_state, job_events,
                                       latest_state, stream_latest_state)
@@ -51,6 +51,31 @@ def iob_sentences(spark: SparkSession, sf: str) -> DataFrame:
                     joined("raw").alias("raw"))
 
 
+def iob_file_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus written as IOB2 text files and read back with the text reader.
+
+    Files are cut by document range (many files, each in file order); every
+    sentence carries ``# sent_id = doc-line`` so it can be keyed again.
+    """
+    lines = iob_lines(corpus(spark, sf), "gold").withColumn(
+        "value", F.when(F.col("idx") == 0, F.concat(F.lit("# sent_id = "), F.col("file").cast("string"),
+                                                     F.lit("-"), F.col("line_no").cast("string")))
+        .otherwise(F.col("value")))
+    path = scratch_path(spark, "iob-files")
+    n = max(1, spark.sparkContext.defaultParallelism)
+    # range-partition on the sentence key so that no sentence is cut between files
+    (lines.repartitionByRange(n, "file", "line_no").sortWithinPartitions("file", "line_no", "idx")
+     .select("value").write.text(path))
+    s = read_sentences(spark, path)
+    head = F.coalesce(F.get(F.col("raw"), 0), F.lit(""))
+    out = s.select(
+        F.regexp_extract(head, r"^# sent_id = ([0-9]+)-[0-9]+$", 1).try_cast("bigint").alias("doc_id"),
+        F.regexp_extract(head, r"^# sent_id = [0-9]+-([0-9]+)$", 1).try_cast("bigint").alias("line_no"),
+        F.size("words").cast("bigint").alias("n_words"),
+        joined("words").alias("words"), joined("tags").alias("tags"))
+    return out.where(F.col("doc_id").isNotNull())
+
+
 def iob_flat_sequence(spark: SparkSession, sf: str) -> DataFrame:
     lines = iob_lines(corpus(spark, sf), "gold")
     rows = classify_lines(lines, comment="anywhere", strict_fields=5).where(F.col("kind") == "w")
@@ -371,6 +396,7 @@ def token_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iob_sentences": iob_sentences,
+    "iob_file_sentences": iob_file_sentences,
     "iob_flat_sequence": iob_flat_sequence,
     "corpus_failed_files": corpus_failed_files,
     "tag_encode_decode": tag_encode_decode,

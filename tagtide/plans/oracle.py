@@ -269,6 +269,14 @@ FROM sents s JOIN last l USING (doc_id)
 WHERE s.line_no <= COALESCE(l.lst, 0)"""
 
 
+def _file_sentences() -> str:
+    return f"""{BASE}
+SELECT s.doc_id, s.line_no, CAST(len(words) AS BIGINT) AS n_words, array_to_string(words, ' ') AS words,
+       COALESCE((SELECT string_agg(gold, ' ' ORDER BY pos) FROM tok t
+                 WHERE t.doc_id = s.doc_id AND t.line_no = s.line_no), '') AS tags
+FROM sents s"""
+
+
 def _flat() -> str:
     return f"""{BASE},
 kept AS (SELECT * FROM tok WHERE NOT contains(word, '#')),
@@ -424,6 +432,7 @@ def oracle_sql() -> dict[str, str]:
     spl_cols = "lang, doc_id, line_no, split_ord"
     return {
         "iob_sentences": _iob_sentences(),
+        "iob_file_sentences": _file_sentences(),
         "iob_flat_sequence": _flat(),
         "corpus_failed_files": _failed_files(),
         "tag_encode_decode": _tag_codes(),

@@ -31,19 +31,23 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 def read_sentences(spark: SparkSession, paths: str | Sequence[str], comment: str = "start",
                    word_field: int = 1, tag_field: int = 2,
-                   extra: dict[str, int] | None = None) -> DataFrame:
-    """sentence(file, sent_ord, words, tags, raw) from IOB2 files.
+                   extra: dict[str, int] | None = None, empty_files: bool = True) -> DataFrame:
+    """sentence(file, sent_ord, words, tags, raw) from IOB2 files or folders.
 
-    A listed file with no lines at all yields one empty sentence.
+    With ``empty_files`` a file with no lines at all yields one empty
+    sentence; the file list comes from the scan's own file index.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = read_lines(spark, paths)
     sents = group_sentences(lines, ["file"], ["block_start", "line_id"],
                             chunk=[F.col("block_start")], comment=comment,
                             word_field=word_field, tag_field=tag_field, extra=extra)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").select(
-        F.col("path"), F.regexp_replace("path", "^file:", "").alias("_bare"))
-    seen = sents.select(F.regexp_replace("file", "^file:", "").alias("_bare")).distinct()
+    if not empty_files:
+        return sents
+    bare = lambda c: F.regexp_replace(c, "^file:(//)?", "")
+    listed = spark.createDataFrame([(p,) for p in spark.read.text(paths).inputFiles()], "path string")
+    listed = listed.select("path", bare(F.col("path")).alias("_bare"))
+    seen = sents.select(bare(F.col("file")).alias("_bare")).distinct()
     empty = (listed.join(seen, "_bare", "left_anti")
              .select(F.col("path").alias("file"), F.lit(0).cast("bigint").alias("sent_ord"),
                      F.array().cast("array<string>").alias("words"),
