@@ -86,11 +86,3 @@ def id_tag(col: str | Column, mode: str = "reference") -> Column:
 def tag_dim(spark: SparkSession, mode: str = "reference") -> DataFrame:
     """The vocabulary as a (tag, tag_id) dimension; 9 rows, safe to broadcast."""
     return spark.createDataFrame(list(tag_ids(mode).items()), "tag string, tag_id int")
-
-
-def tags_to_ids_sql(arr: str, mode: str = "reference") -> str:
-    return f"transform({arr}, t -> {tag_id_sql('t', mode)})"
-
-
-def ids_to_tags_sql(arr: str, mode: str = "reference") -> str:
-    return f"transform({arr}, i -> {id_tag_sql('i', mode)})"

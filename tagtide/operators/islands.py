@@ -125,12 +125,3 @@ def group_sentences(lines: DataFrame, file_cols: Sequence[str], order: Sequence[
 
 def _field(name: str):
     return lambda x: x[name]
-
-
-def drop_trailing_empty(sents: DataFrame, file_cols: Sequence[str]) -> DataFrame:
-    """Keep sentences up to the last one with words; a wordless file keeps sentence 0."""
-    last = sents.groupBy(*file_cols).agg(
-        F.max(F.when(F.size("words") > 0, F.col("sent_ord"))).alias("_last"))
-    return (sents.join(last, on=list(file_cols))
-            .where(F.col("sent_ord") <= F.coalesce(F.col("_last"), F.lit(0)))
-            .drop("_last"))

@@ -265,3 +265,29 @@ def test_vocab_splitter_greedy_longest_match(spark):
     r = align(df, pieces=split("words")).first()
     assert r.pieces[:5] == ["[CLS]", "Argent", "##inian", "is", "[SEP]"]
     assert r.labels[:5] == [-100, 5, -100, 0, -100]
+
+
+def test_flat_reader_strict_fields(spark):
+    from tagtide.sources.iob import read_flat
+    good = _file("#c\n1\tHi\tO\t-\t-\n\n1\tBob\tB-PER\t-\t-\n")
+    rows = read_flat(spark, good).orderBy("block_start", "line_id").collect()
+    assert [(r.word, r.tag) for r in rows] == [("Hi", "O"), ("Bob", "B-PER")]
+    bad = _file("1\tHi\tO\n")
+    with pytest.raises(Exception, match="expected 5 fields"):
+        read_flat(spark, bad).collect()
+
+
+def test_prediction_blocks_from_tokens(spark):
+    from tagtide.sources.iob import prediction_blocks
+    toks = spark.createDataFrame([(0, 1, "b", "O", "O"), (0, 0, "a", "B-PER", "B-LOC")],
+                                 "s bigint, pos int, word string, pred string, gold string")
+    r = prediction_blocks(toks, ["s"]).first()
+    assert r.block == "1\ta\tB-PER\tB-LOC\n1\tb\tO\tO"
+
+
+def test_tag_dimension_equals_map_literal(spark):
+    from tagtide.functions.tags import tag_dim
+    toks = spark.createDataFrame([("B-PER",), ("O",), ("I-OTH",)], "tag string")
+    joined = toks.join(F.broadcast(tag_dim(spark)), "tag").select("tag", "tag_id")
+    mapped = toks.select("tag", tag_id(F.col("tag")).cast("int").alias("tag_id"))
+    assert sorted(joined.collect()) == sorted(mapped.collect())
