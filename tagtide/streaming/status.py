@@ -77,3 +77,36 @@ def stream_latest_state(spark: SparkSession, source: str, schema: str, table: st
     q = (latest.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def watch_until_terminal(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str,
+                         terminal: Sequence[str] = TERMINAL_STATES, poll: str = "2 seconds",
+                         timeout_s: float = 600.0, watermark: str = "1 day") -> bool:
+    """Keep the latest state per job up to date until every job is terminal.
+
+    Each micro-batch rewrites the per-job table and checks, on that small
+    table, whether all jobs have reached a terminal state; the driver stops
+    the query once a batch says so (or at the timeout).  Returns whether all
+    jobs ended.
+    """
+    import threading
+
+    done = threading.Event()
+    ev = job_events(spark.readStream.schema(schema).parquet(source))
+    latest = (ev.withWatermark("ts", watermark).groupBy("job").agg(
+        F.max_by("state", F.struct("ts", "event_id")).alias("state"),
+        F.count(F.lit(1)).cast("bigint").alias("n_events")))
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+        flag = all_terminal(spark.read.parquet(table), terminal).first()
+        if flag.n_jobs > 0 and flag.all_done == 1:
+            done.set()
+
+    q = (latest.writeStream.outputMode("complete").foreachBatch(publish)
+         .option("checkpointLocation", checkpoint).trigger(processingTime=poll).start())
+    try:
+        done.wait(timeout_s)
+    finally:
+        q.stop()
+    return done.is_set()

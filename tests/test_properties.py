@@ -78,3 +78,16 @@ def test_model_selection_keeps_best(spark):
                                  iterations=(2, 8))
     assert [i for i, _ in scores] == [2, 8]
     assert model is not None and all(0.0 <= f <= 1.0 for _, f in scores)
+
+
+def test_watcher_stops_when_all_jobs_terminal(spark):
+    from tagtide.session import read_table, scratch_path
+    from tagtide.streaming.status import watch_until_terminal
+    events = read_table(spark, SMALL, "events")
+    src, table, ckpt = (scratch_path(spark, n) for n in ("w-src", "w-table", "w-ckpt"))
+    events.write.parquet(src)
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    all_types = [r.event_type for r in events.select("event_type").distinct().collect()]
+    assert watch_until_terminal(spark, src, schema, table, ckpt, terminal=all_types, poll="1 second",
+                                timeout_s=120)
+    assert spark.read.parquet(table).count() == events.select("user_id").distinct().count()
