@@ -23,3 +23,18 @@ def density(aligned: DataFrame, group: Sequence[str], labels: str = "labels") ->
                  F.sum(F.when(F.col("_ent") == 0, 1).otherwise(0)).cast("bigint").alias("without_entities"))
             .withColumn("density", F.when(F.col("n_tokens") > 0,
                                           F.col("n_entities") / F.col("n_tokens")).otherwise(F.lit(0.0))))
+
+
+def density_rollup(aligned: DataFrame, labels: str = "labels") -> DataFrame:
+    """Density per (lang, split), per language and overall, in one aggregation.
+
+    ``lang``/``split`` are null on the total rows, as ROLLUP gives them.
+    """
+    ents = entity_count(labels)
+    return (aligned.select("lang", "split", F.size(labels).alias("_tok"), ents.alias("_ent"))
+            .rollup("lang", "split")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_sent"),
+                 F.sum("_tok").cast("bigint").alias("n_tokens"),
+                 F.sum("_ent").cast("bigint").alias("n_entities"))
+            .withColumn("density", F.when(F.col("n_tokens") > 0,
+                                          F.col("n_entities") / F.col("n_tokens")).otherwise(F.lit(0.0))))

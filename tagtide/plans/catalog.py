@@ -18,7 +18,7 @@ from tagtide.operators.islands import classify_lines, group_sentences
 from tagtide.operators.metrics import score, score_by_type, span_errors as span_error_rows, span_rows
 from tagtide.operators.order import doc_chunk, ordinal
 from tagtide.operators.predict import argmax, compat_lines, masked_pairs
-from tagtide.operators.report import density
+from tagtide.operators.report import density, density_rollup
 from tagtide.operators.sample import sample_preserving_density
 from tagtide.operators.splits import quotas, smallest_sets
 from tagtide.plans.base import (LINE_CHUNK, ORDER, aligned, corpus, joined, sizes,
@@ -135,6 +135,12 @@ def entity_density_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("lang", "split", "n_sent", "n_tokens", "n_entities", "density")
 
 
+def entity_density_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Densities with per-language and overall totals (ROLLUP)."""
+    return density_rollup(with_splits(spark, sf)).select(
+        "lang", "split", "n_sent", "n_tokens", "n_entities", "density")
+
+
 # ---- splits and sizes --------------------------------------------------------
 
 def set_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,6 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncation_loss": truncation_loss,
     "sentence_entities": sentence_entities,
     "entity_density_by_lang": entity_density_by_lang,
+    "entity_density_rollup": entity_density_rollup,
     "set_sizes": set_sizes,
     "smallest_sets": smallest_sets_q,
     "smallest_target_sets": smallest_target_sets,

@@ -444,6 +444,7 @@ SELECT lang, part, CAST(count(*) AS BIGINT) AS n_sent, CAST(count_if(ents > 0) A
        CAST(count_if(ents = 0) AS BIGINT) AS without_entities, CAST(sum(ents) AS BIGINT) AS n_entities
 FROM sents GROUP BY lang, part""",
         "entity_density_by_lang": f"{SPLITS}\n{_density('lang, split', 'spl')}",
+        "entity_density_rollup": f"{SPLITS}\n{_density('lang, split', 'spl').replace('GROUP BY lang, split', 'GROUP BY ROLLUP (lang, split)')}",
         "set_sizes": f"{SPLITS}\nSELECT lang, split, n FROM sizes",
         "smallest_sets": f"{SPLITS}\nSELECT split, lang, n FROM small",
         "smallest_target_sets": f"{SPLITS}\nSELECT split, lang, n FROM small_t",

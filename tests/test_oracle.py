@@ -25,6 +25,10 @@ def _norm(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
+def _key(row):
+    return [(True, 0) if v is None else (False, v) for v in row]
+
+
 def test_every_query_is_registered_in_the_entry():
     import __spark_entry__ as e
     assert set(e.queries()) == set(QUERIES)
@@ -37,7 +41,7 @@ def test_matches_oracle(spark, con, name):
     rel = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     idx = [rel.columns.index(c) for c in df.columns]
-    got = sorted(tuple(_norm(x) for x in r) for r in df.collect())
-    want = sorted(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
+    got = sorted((tuple(_norm(x) for x in r) for r in df.collect()), key=_key)
+    want = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=_key)
     assert len(got) == len(want)
     assert got == want
