@@ -30,6 +30,16 @@ def derive_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged_sentences(spark, sf_dir, documents=docs)
 
 
+def corpus_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the materialised tagged corpus (written on first use)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPUS:
+        path = scratch_path(spark, "corpus")
+        derive_corpus(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _CORPUS[key] = path
+    return _CORPUS[key]
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tagged corpus, written once per application and input as Parquet.
 
@@ -37,12 +47,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     pruning instead of re-deriving it, and a query that reads its input twice
     (two-level prefixes) re-reads Parquet rather than re-tagging the text.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CORPUS:
-        path = scratch_path(spark, "corpus")
-        derive_corpus(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _CORPUS[key] = path
-    return spark.read.parquet(_CORPUS[key])
+    return spark.read.parquet(corpus_path(spark, sf_dir))
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from tagtide.operators.predict import argmax, compat_lines, masked_pairs
 from tagtide.operators.report import density, density_rollup
 from tagtide.operators.sample import sample_preserving_density
 from tagtide.operators.splits import quotas, smallest_sets
-from tagtide.plans.base import (LINE_CHUNK, ORDER, aligned, corpus, joined, sizes,
+from tagtide.plans.base import (LINE_CHUNK, ORDER, corpus, corpus_path, joined, sizes,
                                 split_chunk, with_splits)
 from tagtide.session import read_table, scratch_path, small_table
 from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, iob_lines, part_dim,
@@ -54,8 +54,8 @@ def iob_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def iob_file_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus written as IOB2 text files and read back with the text reader.
 
-    Files are cut by document range (many files, each in file order); every
-    sentence carries ``# sent_id = doc-line`` so it can be keyed again.
+    Every file holds whole documents in line order; every sentence carries
+    ``# sent_id = doc-line`` so it can be keyed again.
     """
     lines = iob_lines(corpus(spark, sf), "gold").withColumn(
         "value", F.when(F.col("idx") == 0, F.concat(F.lit("# sent_id = "), F.col("file").cast("string"),
@@ -63,8 +63,8 @@ def iob_file_sentences(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.col("value")))
     path = scratch_path(spark, "iob-files")
     n = max(1, spark.sparkContext.defaultParallelism)
-    # range-partition on the sentence key so that no sentence is cut between files
-    (lines.repartitionByRange(n, "file", "line_no").sortWithinPartitions("file", "line_no", "idx")
+    # whole documents per file (hash on the document), each file in line order
+    (lines.repartition(n, "file").sortWithinPartitions("file", "line_no", "idx")
      .select("value").write.text(path))
     s = read_sentences(spark, path)
     head = F.coalesce(F.get(F.col("raw"), 0), F.lit(""))
@@ -110,7 +110,7 @@ def tag_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def align_first_piece(spark: SparkSession, sf: str) -> DataFrame:
-    a = aligned(spark, sf)
+    a = with_splits(spark, sf)
     return a.select("doc_id", "line_no", F.col("n_pieces").cast("bigint").alias("n_pieces"),
                     F.expr("size(filter(labels, x -> x <> -100))").cast("bigint").alias("n_labelled"),
                     F.aggregate("attention_mask", F.lit(0).cast("bigint"),
@@ -119,14 +119,14 @@ def align_first_piece(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def truncation_loss(spark: SparkSession, sf: str) -> DataFrame:
-    a = aligned(spark, sf)
+    a = with_splits(spark, sf)
     return a.where(F.col("lost") > 0).select(
         "lang", "doc_id", "line_no", F.col("n_pieces").cast("bigint").alias("n_pieces"),
         F.col("lost").cast("bigint").alias("lost"))
 
 
 def sentence_entities(spark: SparkSession, sf: str) -> DataFrame:
-    d = density(aligned(spark, sf), ["lang", "part"])
+    d = density(with_splits(spark, sf), ["lang", "part"])
     return d.select("lang", "part", "n_sent", "with_entities", "without_entities", "n_entities")
 
 
@@ -262,7 +262,7 @@ def argmax_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def masked_label_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    m = masked_pairs(aligned(spark, sf), "pred_labels", "labels")
+    m = masked_pairs(with_splits(spark, sf), "pred_labels", "labels")
     return m.select("doc_id", "line_no", joined("pred_tags").alias("pred_tags"),
                     joined("gold_tags").alias("gold_tags"))
 
@@ -381,9 +381,9 @@ def stream_lines_q(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_score_q(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences arriving as files, scored by a running streaming sum."""
-    sents = corpus(spark, sf).select("lang", "doc_id", "line_no", "gold", "pred")
-    src, table, ckpt = (scratch_path(spark, n) for n in ("sent-src", "score", "score-ckpt"))
-    sents.write.parquet(src)    # one file per task: the producer's rolled files
+    # the materialised corpus folder is the stream source: its files arrive as they are written
+    src = corpus_path(spark, sf)
+    table, ckpt = (scratch_path(spark, n) for n in ("score", "score-ckpt"))
     stream_score(spark, src, table, ckpt)
     return spark.read.parquet(table).select(*SCORE_COLS)
 
