@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagtide.operators.align import align, entity_count
 from tagtide.operators.order import DEFAULT_CHUNK_DOCS, doc_chunk, spread
-from tagtide.operators.splits import assign_splits, split_sizes
+from tagtide.operators.splits import assign_splits
 from tagtide.session import read_table, scratch_path
 from tagtide.sources.corpus import DEFAULT_TARGETS, tagged_sentences
 

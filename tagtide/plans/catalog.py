@@ -24,8 +24,7 @@ from tagtide.operators.splits import quotas, smallest_sets
 from tagtide.plans.base import (LINE_CHUNK, ORDER, corpus, corpus_path, joined, sizes,
                                 split_chunk, with_splits)
 from tagtide.session import read_table, scratch_path, small_table
-from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, iob_lines, part_dim,
-                                    registry, tagged_tokens)
+from tagtide.sources.corpus import DEFAULT_TARGETS, iob_lines, part_dim, registry, tagged_tokens
 from tagtide.sources.iob import read_predictions, read_sentences, sentence_block, write_predictions
 from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
 from tagtide.streaming.status import (EVENT_TERMINAL_STATES, all_terminal, first_state, job_events,

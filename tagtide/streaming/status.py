@@ -2,8 +2,8 @@
 
 A job's state lines are events (job = ``user_id``, state = ``event_type``,
 order = (ts, event_id)).  The batch forms are plain aggregates; the streaming
-form keeps one row of state per job in the state store, with a watermark to
-bound it.
+form keeps one row of state per job in the state store (complete mode keeps
+every job, so state grows with the number of jobs, not with events).
 """
 
 from __future__ import annotations
