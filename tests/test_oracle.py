@@ -45,3 +45,10 @@ def test_matches_oracle(spark, con, name):
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=_key)
     assert len(got) == len(want)
     assert got == want
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as e
+    df = e.entry(spark)
+    rows = df.collect()
+    assert len(rows) == 4 and set(df.columns) >= {"lang", "precision", "recall", "f1"}
