@@ -91,3 +91,15 @@ def test_watcher_stops_when_all_jobs_terminal(spark):
     assert watch_until_terminal(spark, src, schema, table, ckpt, terminal=all_types, poll="1 second",
                                 timeout_s=120)
     assert spark.read.parquet(table).count() == events.select("user_id").distinct().count()
+
+
+def test_one_model_per_target(spark):
+    from tagtide.operators.model import fit_per_target
+    from tagtide.plans.catalog import experiment_grid
+    grid = experiment_grid(spark, SMALL)
+    sp = base.with_splits(spark, SMALL).select("lang", "doc_id", "line_no", "words", "gold")
+    _, test = _split_samples(spark, SMALL, "all")
+    keys = ["lang", "doc_id", "line_no"]
+    res = fit_per_target(grid, sp, test.select(*keys).join(sp, keys), max_iter=3).collect()
+    assert sorted(r.target_lang for r in res) == ["en", "es"]
+    assert all(0.0 <= r.f1 <= 1.0 and r.n_train_tokens > 0 for r in res)
