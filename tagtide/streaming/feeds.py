@@ -40,6 +40,10 @@ def stream_score(spark: SparkSession, source: str, table: str, checkpoint: str,
     """Running span score over sentence files: per-sentence counts, summed in state."""
     sents = (spark.readStream.schema(SENTENCE_SCHEMA)
              .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
+    parallelism = spark.sparkContext.defaultParallelism
+    if files_per_trigger < parallelism:
+        # few large files per trigger would leave cores idle during the span work
+        sents = sents.repartition(parallelism)
     counts = with_span_counts(sents, "gold", "pred")
     totals = counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNT_COLS])
 
