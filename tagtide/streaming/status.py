@@ -26,9 +26,14 @@ def is_terminal(state: Column, terminal: Sequence[str] = TERMINAL_STATES) -> Col
     return F.exists(F.array(*[F.lit(t) for t in terminal]), lambda t: F.startswith(state, t))
 
 
-def job_events(events: DataFrame) -> DataFrame:
-    """(job, ts, event_id, state) from the events table."""
-    return events.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"),
+def job_events(events: DataFrame, zoned: bool = False) -> DataFrame:
+    """(job, ts, event_id, state) from the events table.
+
+    Batch queries order by the stored ``ts`` as is; a stream needs a zoned
+    timestamp for its watermark (``zoned=True``).
+    """
+    ts = F.col("ts").cast("timestamp") if zoned else F.col("ts")
+    return events.select(F.col("user_id").alias("job"), ts.alias("ts"),
                          "event_id", F.col("event_type").alias("state"))
 
 
@@ -66,7 +71,7 @@ def stream_latest_state(spark: SparkSession, source: str, schema: str, table: st
     the checkpoint holds the file offsets and the state store.
     """
     ev = job_events(spark.readStream.schema(schema)
-                    .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
+                    .option("maxFilesPerTrigger", files_per_trigger).parquet(source), zoned=True)
     latest = (ev.withWatermark("ts", watermark).groupBy("job").agg(
         F.max_by("state", F.struct("ts", "event_id")).alias("state"),
         F.count(F.lit(1)).cast("bigint").alias("n_events")))
@@ -92,7 +97,7 @@ def watch_until_terminal(spark: SparkSession, source: str, schema: str, table: s
     import threading
 
     done = threading.Event()
-    ev = job_events(spark.readStream.schema(schema).parquet(source))
+    ev = job_events(spark.readStream.schema(schema).parquet(source), zoned=True)
     latest = (ev.withWatermark("ts", watermark).groupBy("job").agg(
         F.max_by("state", F.struct("ts", "event_id")).alias("state"),
         F.count(F.lit(1)).cast("bigint").alias("n_events")))
