@@ -38,38 +38,50 @@ def spread(df: DataFrame) -> DataFrame:
 
 def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
                  chunk: Sequence[Column], values: dict[str, Column],
-                 suffix: str = "_before") -> DataFrame:
+                 suffix: str = "_before", levels: int = 2, fanout: int = 1024) -> DataFrame:
     """Add, for every ``name -> value``, the exclusive running sum ``name + suffix``.
 
     ``chunk`` expressions must be non-decreasing along ``order`` inside a group
-    and bounded in size; they become the second level of the prefix.
+    and bounded in size; they become the second level of the prefix.  With
+    ``levels=3`` the per-chunk total table is itself prefixed in two levels
+    (its last chunk column divided by ``fanout``), so that a single group with
+    a very large number of chunks is not one task either.
     """
-    chunk_cols = [f"_chunk{i}" for i in range(len(chunk))]
+    tag = f"_l{levels}"          # internal names per level, so recursion cannot clash
+    chunk_cols = [f"{tag}_chunk{i}" for i in range(len(chunk))]
+    v, loc, tot, off = (f"{tag}_v_", f"{tag}_loc_", f"{tag}_tot_", f"{tag}_off_")
     base = df.select("*", *[c.alias(n) for c, n in zip(chunk, chunk_cols)],
-                     *[v.cast("bigint").alias(f"_v_{k}") for k, v in values.items()])
+                     *[val.cast("bigint").alias(f"{v}{k}") for k, val in values.items()])
     local_w = (Window.partitionBy(*group, *chunk_cols).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, -1))
-    local = base.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(local_w), F.lit(0)).alias(f"_loc_{k}")
+    local = base.select("*", *[F.coalesce(F.sum(f"{v}{k}").over(local_w), F.lit(0)).alias(f"{loc}{k}")
                               for k in values])
     # Catalyst prunes the unused window from this branch and turns it into a
     # map-side partial aggregate over the input; callers write expensive
     # inputs to a table first so that this re-read is a pruned scan
-    totals = local.groupBy(*group, *chunk_cols).agg(*[F.sum(f"_v_{k}").alias(f"_tot_{k}") for k in values])
-    chunk_w = (Window.partitionBy(*group).orderBy(*chunk_cols)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*group, *chunk_cols,
-                            *[F.coalesce(F.sum(f"_tot_{k}").over(chunk_w), F.lit(0)).alias(f"_off_{k}")
-                              for k in values])
+    totals = local.groupBy(*group, *chunk_cols).agg(*[F.sum(f"{v}{k}").alias(f"{tot}{k}") for k in values])
+    if levels > 2:
+        coarse = [F.col(c) for c in chunk_cols[:-1]] + [F.floor(F.col(chunk_cols[-1]) / fanout)]
+        offsets = running_sums(totals, group, chunk_cols, coarse,
+                               {f"{off}{k}": F.col(f"{tot}{k}") for k in values},
+                               suffix="", levels=levels - 1, fanout=fanout)
+        offsets = offsets.select(*group, *chunk_cols, *[f"{off}{k}" for k in values])
+    else:
+        chunk_w = (Window.partitionBy(*group).orderBy(*chunk_cols)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        offsets = totals.select(*group, *chunk_cols,
+                                *[F.coalesce(F.sum(f"{tot}{k}").over(chunk_w), F.lit(0)).alias(f"{off}{k}")
+                                  for k in values])
     joined = local.join(offsets, on=[*group, *chunk_cols], how="inner")
-    out = joined.select("*", *[(F.col(f"_off_{k}") + F.col(f"_loc_{k}")).alias(f"{k}{suffix}")
+    out = joined.select("*", *[(F.col(f"{off}{k}") + F.col(f"{loc}{k}")).alias(f"{k}{suffix}")
                               for k in values])
-    drop = chunk_cols + [f"_v_{k}" for k in values] + [f"_loc_{k}" for k in values] \
-        + [f"_off_{k}" for k in values]
+    drop = chunk_cols + [f"{v}{k}" for k in values] + [f"{loc}{k}" for k in values] \
+        + [f"{off}{k}" for k in values]
     return out.drop(*drop)
 
 
 def ordinal(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
-            chunk: Sequence[Column], name: str = "ord") -> DataFrame:
+            chunk: Sequence[Column], name: str = "ord", levels: int = 2) -> DataFrame:
     """0-based position of each row inside its group, in ``order``."""
-    out = running_sums(df, group, order, chunk, {"_one": F.lit(1)})
+    out = running_sums(df, group, order, chunk, {"_one": F.lit(1)}, levels=levels)
     return out.withColumnRenamed("_one_before", name)

@@ -40,8 +40,9 @@ def compat_lines(sent: DataFrame, key: Sequence[str], order: Sequence[str], chun
     from tagtide.operators.order import running_sums
     g = [F.lit(0).alias("_all")]
     base = sent.select(*key, *order, words, pred, gold, *[c for c in g])
+    # one global order: a three-level prefix keeps the chunk table off a single task
     pre = running_sums(base, ["_all"], list(order), list(chunk),
-                       {"_lines": F.size(words) + 1, "_labels": F.size(pred)})
+                       {"_lines": F.size(words) + 1, "_labels": F.size(pred)}, levels=3)
     line_rows = pre.select(
         F.posexplode(F.concat(F.col(words), F.array(F.lit(None).cast("string")))).alias("_j", "line"),
         "_lines_before").select((F.col("_lines_before") + F.col("_j")).alias("k"), "line")

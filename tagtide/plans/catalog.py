@@ -244,7 +244,7 @@ def batch_assign(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _split_samples(spark, sf, "all")
     t = train.join(F.broadcast(registry(spark).select("lang", "ord")), "lang").withColumn("_all", F.lit(0))
     o = ordinal(t, ["_all"], ["ord", "split_ord"],
-                [F.col("ord"), F.floor(F.col("split_ord") / 4096)], name="row")
+                [F.col("ord"), F.floor(F.col("split_ord") / 4096)], name="row", levels=3)
     return o.select("lang", "doc_id", "line_no", F.floor(F.col("row") / BATCH_SIZE).cast("bigint").alias("batch_id"))
 
 

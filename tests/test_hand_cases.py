@@ -291,3 +291,18 @@ def test_tag_dimension_equals_map_literal(spark):
     joined = toks.join(F.broadcast(tag_dim(spark)), "tag").select("tag", "tag_id")
     mapped = toks.select("tag", tag_id(F.col("tag")).cast("int").alias("tag_id"))
     assert sorted(joined.collect()) == sorted(mapped.collect())
+
+
+@pytest.mark.parametrize("levels,fanout", [(2, 1024), (3, 2), (4, 2)])
+def test_running_sums_levels_agree(spark, levels, fanout):
+    from tagtide.operators.order import running_sums
+    df = spark.range(0, 500).select((F.col("id") % 2).alias("g"), F.col("id").alias("o"),
+                                    (F.col("id") % 7).alias("v"))
+    out = running_sums(df, ["g"], ["o"], [F.floor(F.col("o") / 10)], {"v": F.col("v")},
+                       levels=levels, fanout=fanout)
+    got = {(r.g, r.o): r.v_before for r in out.collect()}
+    for g in (0, 1):
+        acc = 0
+        for o in range(g, 500, 2):
+            assert got[(g, o)] == acc
+            acc += o % 7
