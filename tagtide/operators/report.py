@@ -38,3 +38,14 @@ def density_rollup(aligned: DataFrame, labels: str = "labels") -> DataFrame:
                  F.sum("_ent").cast("bigint").alias("n_entities"))
             .withColumn("density", F.when(F.col("n_tokens") > 0,
                                           F.col("n_entities") / F.col("n_tokens")).otherwise(F.lit(0.0))))
+
+
+def density_from_counts(rows: DataFrame, group: Sequence[str], ents: str = "ents",
+                        width: int = 64) -> DataFrame:
+    """Same figures as ``density`` from per-sentence entity counts (``width`` tokens each)."""
+    return (rows.groupBy(*group)
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_sent"),
+                 F.sum(ents).cast("bigint").alias("n_entities"))
+            .withColumn("n_tokens", (F.col("n_sent") * width).cast("bigint"))
+            .withColumn("density", F.when(F.col("n_tokens") > 0,
+                                          F.col("n_entities") / F.col("n_tokens")).otherwise(F.lit(0.0))))

@@ -18,7 +18,7 @@ from tagtide.operators.islands import classify_lines, group_sentences
 from tagtide.operators.metrics import score, score_by_type, span_errors as span_error_rows, span_rows
 from tagtide.operators.order import doc_chunk, ordinal
 from tagtide.operators.predict import argmax, compat_lines, masked_pairs
-from tagtide.operators.report import density, density_rollup
+from tagtide.operators.report import density, density_from_counts, density_rollup
 from tagtide.operators.sample import sample_preserving_density
 from tagtide.operators.splits import quotas, smallest_sets
 from tagtide.plans.base import (LINE_CHUNK, ORDER, corpus, corpus_path, joined, sizes,
@@ -176,9 +176,11 @@ def density_sample(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("short").cast("int").alias("short"))
 
 
-def _split_samples(spark: SparkSession, sf: str, target: str = "all", k: int = MIX_K):
+def _split_samples(spark: SparkSession, sf: str, target: str = "all", k: int = MIX_K,
+                   carry: tuple[str, ...] = ()):
+    """(train sample, test sample); ``carry`` names extra columns the samples keep."""
     sp = with_splits(spark, sf).select("lang", "split", "part_rank", "doc_id", "line_no",
-                                       "split_ord", "ents")
+                                       "split_ord", "ents", *carry)
     q = F.broadcast(small_table(quotas(sizes(spark, sf), registry(spark), DEFAULT_TARGETS, target, k)))
     train = (sp.where(F.col("split") == "train")
              .join(q.select("lang", F.col("train_quota").alias("size")), "lang")
@@ -223,14 +225,13 @@ def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def density_report_sampled_vs_entire(spark: SparkSession, sf: str) -> DataFrame:
+    # the samples carry their entity counts, so no join back to the corpus is needed
     sp = with_splits(spark, sf)
     train, test = _split_samples(spark, sf, "all")
-    keys = ["lang", "split", "doc_id", "line_no"]
-    sampled = train.select(*keys).unionByName(test.select(*keys)).join(
-        sp.select(*keys, "labels"), keys)
-    entire = sp.select(F.lit("entire").alias("scope"), "lang", "split", "labels")
-    both = entire.unionByName(sampled.select(F.lit("sampled").alias("scope"), "lang", "split", "labels"))
-    d = density(both, ["lang", "scope", "split"])
+    cols = ["lang", "split", "ents"]
+    entire = sp.select(F.lit("entire").alias("scope"), *cols)
+    sampled = train.select(*cols).unionByName(test.select(*cols)).select(F.lit("sampled").alias("scope"), *cols)
+    d = density_from_counts(entire.unionByName(sampled), ["lang", "scope", "split"])
     return d.select("lang", "scope", "split", "n_sent", "n_tokens", "n_entities", "density")
 
 
@@ -392,11 +393,10 @@ def stream_score_q(spark: SparkSession, sf: str) -> DataFrame:
 def token_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Train on the balanced train mix, score on the balanced test sets."""
     from tagtide.operators.model import train_and_score
-    train, test = _split_samples(spark, sf, "all")
-    sp = with_splits(spark, sf).select("lang", "doc_id", "line_no", "words", "gold")
-    keys = ["lang", "doc_id", "line_no"]
-    return train_and_score(train.select(*keys).join(sp, keys), test.select(*keys).join(sp, keys),
-                           model_path=scratch_path(spark, "model"))
+    # the samples carry words and tags, so no join back to the corpus is needed
+    train, test = _split_samples(spark, sf, "all", carry=("words", "gold"))
+    cols = ["lang", "doc_id", "line_no", "words", "gold"]
+    return train_and_score(train.select(*cols), test.select(*cols), model_path=scratch_path(spark, "model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
