@@ -52,7 +52,7 @@ BASE = f"""WITH {REG},
 doc_lines AS (
   SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS line_no
-  FROM documents),
+  FROM documents WHERE lang IN (SELECT lang FROM reg)),
 sent AS (
   SELECT doc_id, lang, {_part_case()} AS part, CAST(line_no AS BIGINT) AS line_no,
          list_filter(string_split(line, ' '), lambda x: x <> '') AS words

@@ -90,6 +90,8 @@ def tagged_sentences(spark: SparkSession, sf_dir: str, documents: DataFrame | No
     One row per line of every document; ``(doc_id, line_no)`` is the file order.
     """
     docs = documents if documents is not None else read_table(spark, sf_dir, "documents")
+    # only registered languages have a file layout
+    docs = docs.where(F.col("lang").isin([code for code, *_ in REGISTRY]))
     lines = docs.select(
         "lang", "doc_id",
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
