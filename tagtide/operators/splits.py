@@ -95,8 +95,7 @@ def smallest_sets(sizes: DataFrame, registry: DataFrame, langs: Sequence[str] |
         F.min("n").alias("n"))
 
 
-def quotas(sizes: DataFrame, registry: DataFrame, targets: Sequence[str],
-           target: str = "all", k: int = 10) -> DataFrame:
+def quotas(sizes: DataFrame, targets: Sequence[str], target: str = "all", k: int = 10) -> DataFrame:
     """(lang, train_quota, test_quota) following the balanced-split rules.
 
     target='all': every language gets the smallest train size;
@@ -107,13 +106,17 @@ def quotas(sizes: DataFrame, registry: DataFrame, targets: Sequence[str],
         raise ValueError(f"target {target!r} is not one of the target languages {list(targets)}")
     if k < 0:
         raise ValueError("k must be >= 0")
-    small = smallest_sets(sizes, registry).groupBy().agg(
-        F.max(F.when(F.col("split") == "train", F.col("n"))).alias("min_train"),
-        F.max(F.when(F.col("split") == "test", F.col("n"))).alias("min_test"))
-    small_t = smallest_sets(sizes, registry, targets).groupBy().agg(
-        F.max(F.when(F.col("split") == "train", F.col("n"))).alias("min_target_train"))
-    langs = sizes.select("lang").distinct()
-    q = langs.crossJoin(F.broadcast(small)).crossJoin(F.broadcast(small_t))
+    # one row per language (train and test sizes), minima over all rows by a
+    # window without partition keys: the table has one row per language
+    per_lang = sizes.groupBy("lang").agg(
+        F.max(F.when(F.col("split") == "train", F.col("n"))).alias("train_n"),
+        F.max(F.when(F.col("split") == "test", F.col("n"))).alias("test_n"))
+    every = Window.partitionBy()
+    q = per_lang.select(
+        "lang",
+        F.min("train_n").over(every).alias("min_train"),
+        F.min("test_n").over(every).alias("min_test"),
+        F.min(F.when(F.col("lang").isin(list(targets)), F.col("train_n"))).over(every).alias("min_target_train"))
     checked_k = F.when(F.lit(k) <= F.col("min_test"), F.lit(k)).otherwise(
         F.raise_error(F.concat(F.lit(f"k={k} is greater than the smallest test set ("),
                                F.col("min_test").cast("string"), F.lit(")"))).cast("bigint"))

@@ -24,7 +24,7 @@ from tagtide.operators.splits import quotas, smallest_sets
 from tagtide.plans.base import (LINE_CHUNK, ORDER, corpus, corpus_path, joined, sizes,
                                 split_chunk, with_splits)
 from tagtide.session import read_table, scratch_path, small_table
-from tagtide.sources.corpus import DEFAULT_TARGETS, iob_lines, part_dim, registry, tagged_tokens
+from tagtide.sources.corpus import DEFAULT_TARGETS, PART_SUFFIXES, iob_lines, registry, tagged_tokens
 from tagtide.sources.iob import read_predictions, read_sentences, sentence_block, write_predictions
 from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
 from tagtide.streaming.status import (EVENT_TERMINAL_STATES, all_terminal, first_state, job_events,
@@ -86,7 +86,10 @@ def iob_flat_sequence(spark: SparkSession, sf: str) -> DataFrame:
 
 def corpus_failed_files(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat_ws("/", F.lit(CORPUS_ROOT), F.concat(F.col("path_prefix"), F.col("suffix")))
-    manifest = registry(spark).crossJoin(part_dim(spark)).select("lang", "part", "suffix", path.alias("path"))
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(x).alias("suffix")) for p, _, x in PART_SUFFIXES])
+    manifest = (registry(spark).select("lang", "path_prefix", F.explode(parts).alias("p"))
+                .select("lang", "p.part", "p.suffix", "path_prefix")
+                .select("lang", "part", "suffix", path.alias("path")))
     found = (corpus(spark, sf).select("lang", "part").distinct()
              .join(F.broadcast(manifest), ["lang", "part"]).select("path"))
     failed = manifest.where(F.col("suffix") != "").join(found, "path", "left_anti")
@@ -169,8 +172,9 @@ def train_dev_merge(spark: SparkSession, sf: str) -> DataFrame:
 def density_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Every language sampled to the size of the smallest language."""
     a = with_splits(spark, sf).select("lang", "doc_id", "line_no", "ents")
-    n = small_table(a.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.min("n").alias("size")))
-    a = a.crossJoin(F.broadcast(n))
+    size = small_table(a.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+                       .groupBy().agg(F.min("n").alias("size"))).first()["size"]
+    a = a.withColumn("size", F.lit(size).cast("bigint"))
     s = sample_preserving_density(a, ["lang"], ORDER, [doc_chunk("doc_id")])
     return s.select("lang", "doc_id", "line_no", F.col("ents").cast("bigint").alias("ents"),
                     F.col("short").cast("int").alias("short"))
@@ -181,7 +185,7 @@ def _split_samples(spark: SparkSession, sf: str, target: str = "all", k: int = M
     """(train sample, test sample); ``carry`` names extra columns the samples keep."""
     sp = with_splits(spark, sf).select("lang", "split", "part_rank", "doc_id", "line_no",
                                        "split_ord", "ents", *carry)
-    q = F.broadcast(small_table(quotas(sizes(spark, sf), registry(spark), DEFAULT_TARGETS, target, k)))
+    q = F.broadcast(small_table(quotas(sizes(spark, sf), DEFAULT_TARGETS, target, k)))
     train = (sp.where(F.col("split") == "train")
              .join(q.select("lang", F.col("train_quota").alias("size")), "lang")
              .where(F.col("size") > 0))
@@ -209,10 +213,9 @@ def test_balanced(spark: SparkSession, sf: str) -> DataFrame:
 def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The training mix of every target language, built in one pass."""
     sz = sizes(spark, sf)
-    reg = registry(spark)
     grid = None
     for t in DEFAULT_TARGETS:
-        g = quotas(sz, reg, DEFAULT_TARGETS, t, MIX_K).select(
+        g = quotas(sz, DEFAULT_TARGETS, t, MIX_K).select(
             F.lit(t).alias("target_lang"), "lang", F.col("train_quota").alias("size"))
         grid = g if grid is None else grid.unionByName(g)
     grid = F.broadcast(small_table(grid.where(F.col("size") > 0)))

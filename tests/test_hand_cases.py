@@ -225,19 +225,19 @@ def _sizes(spark):
 
 def test_case25_k_above_smallest_test(spark):
     with pytest.raises(Exception, match="greater than the smallest test set"):
-        quotas(_sizes(spark), _registry(spark), ["eng"], "eng", k=11).collect()
+        quotas(_sizes(spark), ["eng"], "eng", k=11).collect()
 
 
 def test_case26_unknown_target(spark):
     with pytest.raises(ValueError):
-        quotas(_sizes(spark), _registry(spark), ["eng"], "deu", k=5)
+        quotas(_sizes(spark), ["eng"], "deu", k=5)
 
 
 def test_quota_rules(spark):
     q = {r.lang: (r.train_quota, r.test_quota)
-         for r in quotas(_sizes(spark), _registry(spark), ["eng", "swe"], "eng", k=5).collect()}
+         for r in quotas(_sizes(spark), ["eng", "swe"], "eng", k=5).collect()}
     assert q == {"eng": (30, 10), "slk": (5, 10), "swe": (5, 10)}
-    q = {r.lang: r.train_quota for r in quotas(_sizes(spark), _registry(spark), ["eng"], "all", 5).collect()}
+    q = {r.lang: r.train_quota for r in quotas(_sizes(spark), ["eng"], "all", 5).collect()}
     assert q == {"eng": 30, "slk": 30, "swe": 30}
 
 
