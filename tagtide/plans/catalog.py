@@ -23,7 +23,7 @@ from tagtide.operators.sample import sample_preserving_density
 from tagtide.operators.splits import quotas, smallest_sets
 from tagtide.plans.base import (LINE_CHUNK, ORDER, corpus, corpus_path, joined, sizes,
                                 split_chunk, with_splits)
-from tagtide.session import read_table, scratch_path, small_table
+from tagtide.session import materialize, read_table, scratch_path, small_table
 from tagtide.sources.corpus import DEFAULT_TARGETS, PART_SUFFIXES, iob_lines, registry, tagged_tokens
 from tagtide.sources.iob import read_predictions, read_sentences, sentence_block, write_predictions
 from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
@@ -246,6 +246,8 @@ def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_assign(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _split_samples(spark, sf, "all")
+    # the prefix reads its input twice: write the sample once instead of sampling twice
+    train = materialize(train.select("lang", "doc_id", "line_no", "split_ord"), "train-mix")
     t = train.join(F.broadcast(registry(spark).select("lang", "ord")), "lang").withColumn("_all", F.lit(0))
     o = ordinal(t, ["_all"], ["ord", "split_ord"],
                 [F.col("ord"), F.floor(F.col("split_ord") / 4096)], name="row", levels=3)

@@ -71,6 +71,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tagtide-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    Used before operators that read their input twice (two-level prefixes),
+    when that input is itself an expensive plan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Evaluate a bounded table (one row per language, split, ...) once and
     return it as a local single-partition DataFrame.
