@@ -316,6 +316,8 @@ def prediction_lines_compat(spark: SparkSession, sf: str) -> DataFrame:
     # an empty sentence decodes to one empty word, which the writer also prints blank
     s = s.withColumn("out_words", F.when(F.size("out_words") == 0, F.array(F.lit("")))
                      .otherwise(F.col("out_words")))
+    # the global prefix reads its input at every level: write it once
+    s = materialize(s.select(*ORDER, "split_ord", "out_words", "pred_tags", "gold_tags"), "compat-input")
     lines = compat_lines(s, ORDER, ["split_ord"], [F.floor(F.col("split_ord") / 4096)])
     return lines.select(F.col("k").cast("bigint").alias("k"), "value")
 
