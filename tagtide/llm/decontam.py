@@ -33,8 +33,8 @@ def seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     """One row per token position and mask that fits: the columns of ``rows``
     (with a token hash array ``th``), pos, mask, seed."""
     shortest = min(max(m) + 1 for m in masks)
-    at = rows.where(F.size("th") >= shortest).withColumn(
-        "pos", F.explode(F.sequence(F.lit(0), F.size("th") - shortest)))
+    fits = F.when(F.size("th") >= shortest, F.sequence(F.lit(0), F.size("th") - shortest))
+    at = rows.withColumn("pos", F.explode(fits))  # a filter on the size would hash the tokens twice
     masked = [F.when(F.col("pos") + max(m) < F.size("th"),
                      F.xxhash64(F.lit(k), *[F.get("th", F.col("pos") + o) for o in m])) for k, m in enumerate(masks)]
     return at.withColumn("seed", F.explode(F.array(*masked))).where("seed is not null")
