@@ -2,8 +2,9 @@
 
 Token labels come from the document labels: over all learning documents, the
 hashed forms of a token (the word and its prefixes) are counted in toxic and
-in clean documents, and a token of a toxic document is labelled toxic if one
-of its forms is much commoner among toxic documents.  The field (two states;
+in clean documents, and a token of a toxic document is labelled toxic if its
+most specific form that enough documents hold is much commoner among toxic
+ones.  The field (two states;
 emissions from hashed word forms, transitions) is fitted on a bounded sample:
 each learner climbs the likelihood of its share with AdaGrad over
 forward-backward marginals, and the weights are averaged.  A document's score
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from tagtide.llm.common import held_out, ids_as_text, materialize, pick, ship
 
 BITS = 18
-PREFIXES = (3, 4, 5, 6)
-PER_CLASS = 3000   # bound of the fitting sample: documents per label, in expectation
+PREFIXES = (8, 7, 6, 5, 4, 3)
+PER_CLASS = 2000   # bound of the fitting sample: documents per label, in expectation
 LEARNERS = 6
-STEPS = 40
+STEPS = 30
 SEGMENT = 128      # a chain is a line; longer ones continue in chains of this many tokens
 THRESHOLD = 0.3    # fixed value of the contract
 _TOKEN = re.compile(r"\w+|\n")
@@ -38,12 +39,12 @@ _CACHE = 300_000
 
 
 def forms(word: str) -> list[int]:
-    """Hash buckets of a token's forms: the word, its prefixes, its suffix.
-    A prefix longer than the word repeats the word's own bucket."""
+    """Hash buckets of a token's forms, the most specific first: the word, its
+    prefixes.  A prefix longer than the word repeats the word's own bucket."""
     w = word.lower()
-    return [crc32(("=" + w).encode("utf-8", "replace")) & _MASK,
-            *[crc32((f"{n}<" + w[:n]).encode("utf-8", "replace")) & _MASK if len(w) > n
-              else crc32(("=" + w).encode("utf-8", "replace")) & _MASK for n in PREFIXES]]
+    whole = crc32(("=" + w).encode("utf-8", "replace")) & _MASK
+    return [whole, *[crc32(f"{n}<{w[:n]}".encode("utf-8", "replace")) & _MASK if len(w) > n else whole
+                     for n in PREFIXES]]
 
 
 def suffix(word: str) -> int:
@@ -141,10 +142,16 @@ def associations(learn: DataFrame) -> np.ndarray:
 
 
 def toxic_forms(counts: np.ndarray, min_docs: int = 5, ratio: float = 25.0) -> np.ndarray:
-    """Which buckets are much commoner among toxic documents."""
+    """By bucket: 1 much commoner among toxic documents, -1 not, 0 too rare to tell."""
     clean, toxic = counts[0, -1] + 1, counts[1, -1] + 1
     lift = ((counts[1, :-1] + 0.5) / toxic) / ((counts[0, :-1] + 0.5) / clean)
-    return (counts[1, :-1] >= min_docs) & (lift >= ratio)
+    return np.where(counts[:, :-1].sum(0) < min_docs, 0, np.where(lift >= ratio, 1, -1)).astype(np.int8)
+
+
+def _marked(forms_of: np.ndarray, verdict: np.ndarray) -> np.ndarray:
+    """Whether the most specific form with a verdict is a toxic one."""
+    v = verdict[forms_of]
+    return v[np.arange(len(v)), (v != 0).argmax(1)] == 1
 
 
 def train_field(texts: list[str], labels: list[int], marked: np.ndarray, steps: int = STEPS) -> Field:
@@ -160,7 +167,7 @@ def train_field(texts: list[str], labels: list[int], marked: np.ndarray, steps:
         return f
     vocab, at = np.unique(np.array(words, dtype=object), return_inverse=True)
     feats = np.array([[*forms(w), suffix(w)] for w in vocab])
-    gold = (marked[feats[:, :-1]].any(1)[at] & (np.array(y) == 1)).astype(float)
+    gold = (_marked(feats[:, :-1], marked)[at] & (np.array(y) == 1)).astype(float)
     start = np.array([*starts, len(words)])
     inside = np.ones(len(words), bool)
     inside[start[:-1]] = False
