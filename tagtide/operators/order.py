@@ -21,7 +21,7 @@ DEFAULT_CHUNK_DOCS = 1024
 
 def doc_chunk(col: str = "doc_id", docs_per_chunk: int = DEFAULT_CHUNK_DOCS) -> Column:
     """Order-monotone chunk key for an order that starts with ``doc_id``."""
-    return F.floor(F.col(col) / F.lit(docs_per_chunk)).cast("bigint")
+    return F.expr(f"`{col}` div {docs_per_chunk}")  # in integers: a double is exact to 2^53 only
 
 
 def spread(df: DataFrame) -> DataFrame:

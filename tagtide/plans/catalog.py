@@ -43,7 +43,7 @@ CORPUS_ROOT = "corpus"
 def iob_sentences(spark: SparkSession, sf: str) -> DataFrame:
     lines = iob_lines(corpus(spark, sf), "gold")
     s = group_sentences(lines, ["file"], ["line_no", "idx"],
-                        chunk=[F.floor(F.col("line_no") / LINE_CHUNK)])
+                        chunk=[F.expr(f"line_no div {LINE_CHUNK}")])
     return s.select(F.col("file").cast("bigint").alias("file"), "sent_ord",
                     F.size("words").cast("bigint").alias("n_words"),
                     joined("words").alias("words"), joined("tags").alias("tags"),
@@ -75,11 +75,21 @@ def iob_file_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return out.where(F.col("doc_id").isNotNull())
 
 
+def iob_sentences_hash_anywhere(spark: SparkSession, sf: str) -> DataFrame:
+    """The loader that drops every line holding a ``#``, wherever it stands."""
+    lines = iob_lines(corpus(spark, sf), "gold")
+    s = group_sentences(lines, ["file"], ["line_no", "idx"], chunk=[F.expr(f"line_no div {LINE_CHUNK}")],
+                        comment="anywhere")
+    return s.select(F.col("file").cast("bigint").alias("file"), "sent_ord",
+                    F.size("words").cast("bigint").alias("n_words"), joined("words").alias("words"),
+                    joined("tags").alias("tags"))
+
+
 def iob_flat_sequence(spark: SparkSession, sf: str) -> DataFrame:
     lines = iob_lines(corpus(spark, sf), "gold")
-    rows = classify_lines(lines, comment="anywhere", strict_fields=5).where(F.col("kind") == "w")
+    rows = classify_lines(lines, comment="start", strict_fields=5).where(F.col("kind") == "w")
     chunks = flat_chunks(rows, ["file"], ["line_no", "idx"],
-                         [F.floor(F.col("line_no") / LINE_CHUNK)], width=4, seq_len=128)
+                         [F.expr(f"line_no div {LINE_CHUNK}")], width=4, seq_len=128)
     return chunks.select(F.col("file").cast("bigint").alias("file"), "seq", "n_pieces",
                          F.array_join("labels", ",").alias("labels"))
 
@@ -239,9 +249,15 @@ def density_report_sampled_vs_entire(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    """The train mix in a seeded random order: md5 of the row key and the seed
+    sorts the rows, and a row's position is its rank.  The leading hex digits
+    of the key deal the order over chunks of like size."""
     train, _ = _split_samples(spark, sf, "all")
-    return train.select("lang", "doc_id", "line_no",
-                        F.xxhash64("lang", "doc_id", "line_no", F.lit(SHUFFLE_SEED)).alias("shuffle_key"))
+    key = F.md5(F.concat_ws("|", "lang", "doc_id", "line_no", F.lit(str(SHUFFLE_SEED))))
+    train = materialize(train.select("lang", "doc_id", "line_no", key.alias("shuffle_key")), "shuffle-keys")
+    o = ordinal(train.withColumn("_all", F.lit(0)), ["_all"], ["shuffle_key"],
+                [F.conv(F.substring("shuffle_key", 1, 5), 16, 10).cast("bigint")], name="position", levels=3)
+    return o.select("lang", "doc_id", "line_no", "shuffle_key", F.col("position").cast("bigint").alias("position"))
 
 
 def batch_assign(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,8 +266,8 @@ def batch_assign(spark: SparkSession, sf: str) -> DataFrame:
     train = materialize(train.select("lang", "doc_id", "line_no", "split_ord"), "train-mix")
     t = train.join(F.broadcast(registry(spark).select("lang", "ord")), "lang").withColumn("_all", F.lit(0))
     o = ordinal(t, ["_all"], ["ord", "split_ord"],
-                [F.col("ord"), F.floor(F.col("split_ord") / 4096)], name="row", levels=3)
-    return o.select("lang", "doc_id", "line_no", F.floor(F.col("row") / BATCH_SIZE).cast("bigint").alias("batch_id"))
+                [F.col("ord"), F.expr("split_ord div 4096")], name="row", levels=3)
+    return o.select("lang", "doc_id", "line_no", F.expr(f"row div {BATCH_SIZE}").alias("batch_id"))
 
 
 # ---- predictions, labels and scores ------------------------------------------
@@ -301,32 +317,34 @@ def score_by_type_q(spark: SparkSession, sf: str) -> DataFrame:
                                                    "precision", "recall", "f1")
 
 
-def _en_test(spark: SparkSession, sf: str) -> DataFrame:
-    return with_splits(spark, sf).where((F.col("lang") == "en") & (F.col("split") == "test"))
+def _test_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The test split of every language, with the language's registry position."""
+    return with_splits(spark, sf).where(F.col("split") == "test").join(
+        F.broadcast(registry(spark).select("lang", F.col("ord").alias("lang_ord"))), "lang")
 
 
 def prediction_lines(spark: SparkSession, sf: str) -> DataFrame:
-    s = _en_test(spark, sf)
-    return s.select("doc_id", "line_no", sentence_block("words", "pred", "gold").alias("block"))
+    s = _test_split(spark, sf)
+    return s.select("lang", "doc_id", "line_no", sentence_block("words", "pred", "gold").alias("block"))
 
 
 def prediction_lines_compat(spark: SparkSession, sf: str) -> DataFrame:
-    s = masked_pairs(_en_test(spark, sf), "pred_labels", "labels")
+    s = masked_pairs(_test_split(spark, sf), "pred_labels", "labels")
     s = s.withColumn("out_words", decoded_words("pieces", "word_ids"))
     # an empty sentence decodes to one empty word, which the writer also prints blank
     s = s.withColumn("out_words", F.when(F.size("out_words") == 0, F.array(F.lit("")))
                      .otherwise(F.col("out_words")))
     # the global prefix reads its input at every level: write it once
-    s = materialize(s.select(*ORDER, "split_ord", "out_words", "pred_tags", "gold_tags"), "compat-input")
-    lines = compat_lines(s, ORDER, ["split_ord"], [F.floor(F.col("split_ord") / 4096)])
+    s = materialize(s.select(*ORDER, "lang_ord", "split_ord", "out_words", "pred_tags", "gold_tags"), "compat-input")
+    lines = compat_lines(s, ORDER, ["lang_ord", "split_ord"], [F.col("lang_ord"), F.expr("split_ord div 4096")])
     return lines.select(F.col("k").cast("bigint").alias("k"), "value")
 
 
 def prediction_file_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Write the English test predictions as IOB2 text, read the file back, score it."""
-    s = _en_test(spark, sf).select("split_ord", sentence_block("words", "pred", "gold").alias("block"))
+    """Write the test predictions of all languages as IOB2 text, read the files back, score them."""
+    s = _test_split(spark, sf).select("lang_ord", "split_ord", sentence_block("words", "pred", "gold").alias("block"))
     path = scratch_path(spark, "predictions")
-    write_predictions(s, path, ["split_ord"])
+    write_predictions(s, path, ["lang_ord", "split_ord"])
     back = read_predictions(spark, path)
     return score(back, gold="gold", pred="pred").select(*SCORE_COLS)
 
@@ -409,6 +427,7 @@ def token_classifier(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iob_sentences": iob_sentences,
     "iob_file_sentences": iob_file_sentences,
+    "iob_sentences_hash_anywhere": iob_sentences_hash_anywhere,
     "iob_flat_sequence": iob_flat_sequence,
     "corpus_failed_files": corpus_failed_files,
     "tag_encode_decode": tag_encode_decode,

@@ -269,6 +269,19 @@ FROM sents s JOIN last l USING (doc_id)
 WHERE s.line_no <= COALESCE(l.lst, 0)"""
 
 
+def _hash_anywhere() -> str:
+    # a sentence whose words all hold a '#' stays, empty; trailing empty ones of a file go
+    return f"""{BASE},
+kept AS (SELECT doc_id, line_no, pos, word, gold FROM tok WHERE NOT contains(word, '#')),
+s AS (SELECT x.doc_id, x.line_no, count(k.word) AS n, string_agg(k.word, ' ' ORDER BY k.pos) AS words,
+             string_agg(k.gold, ' ' ORDER BY k.pos) AS tags
+      FROM sents x LEFT JOIN kept k USING (doc_id, line_no) GROUP BY x.doc_id, x.line_no),
+last AS (SELECT doc_id, max(CASE WHEN n > 0 THEN line_no END) AS lst FROM s GROUP BY doc_id)
+SELECT CAST(s.doc_id AS BIGINT) AS file, s.line_no AS sent_ord, CAST(n AS BIGINT) AS n_words,
+       COALESCE(words, '') AS words, COALESCE(tags, '') AS tags
+FROM s JOIN last l USING (doc_id) WHERE s.line_no <= COALESCE(l.lst, 0)"""
+
+
 def _file_sentences() -> str:
     return f"""{BASE}
 SELECT s.doc_id, s.line_no, CAST(len(words) AS BIGINT) AS n_words, array_to_string(words, ' ') AS words,
@@ -279,11 +292,10 @@ FROM sents s"""
 
 def _flat() -> str:
     return f"""{BASE},
-kept AS (SELECT * FROM tok WHERE NOT contains(word, '#')),
 kst AS (
   SELECT *, COALESCE(sum(np) OVER (PARTITION BY doc_id ORDER BY line_no, pos
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g0
-  FROM kept),
+  FROM tok),
 pc AS (SELECT doc_id, g0, gold, unnest(range(np)) AS k FROM kst),
 pcs AS (
   SELECT doc_id, (g0 + k) // 126 AS seq, (g0 + k) % 126 AS j,
@@ -362,16 +374,16 @@ scopes AS (
 def _compat() -> str:
     # decoded words are the kept pieces of each word; every sentence adds one blank line
     return f"""{SPLITS},
-et AS (SELECT * FROM spl WHERE lang = 'en' AND split = 'test'),
+et AS (SELECT spl.*, r.ord AS lang_ord FROM spl JOIN reg r USING (lang) WHERE split = 'test'),
 kw AS (
   SELECT t.doc_id, t.line_no, t.pos, left(t.word, CAST(4 * least(t.np, 62 - t.ps) AS BIGINT)) AS w,
          {_id_tag(_tag_id('t.pred'))} AS p, {_id_tag(_tag_id('t.gold'))} AS g
   FROM tok t JOIN et USING (doc_id, line_no) WHERE t.ps < 62),
 so AS (
-  SELECT doc_id, line_no, split_ord, greatest(n_kept_words, 1) + 1 AS n_lines, n_kept_words AS n_labels FROM et),
+  SELECT doc_id, line_no, lang_ord, split_ord, greatest(n_kept_words, 1) + 1 AS n_lines, n_kept_words AS n_labels FROM et),
 off AS (
-  SELECT *, COALESCE(sum(n_lines) OVER (ORDER BY split_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
-            COALESCE(sum(n_labels) OVER (ORDER BY split_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bo
+  SELECT *, COALESCE(sum(n_lines) OVER (ORDER BY lang_ord, split_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
+            COALESCE(sum(n_labels) OVER (ORDER BY lang_ord, split_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bo
   FROM so),
 kwr AS (SELECT kw.*, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY pos) - 1 AS j FROM kw),
 lines AS (
@@ -407,7 +419,7 @@ SELECT job, state, n_events FROM (
 
 def _all_terminal() -> str:
     from tagtide.streaming.status import EVENT_TERMINAL_STATES
-    cond = " OR ".join(f"starts_with(state, {_q(t)})" for t in EVENT_TERMINAL_STATES)
+    cond = " OR ".join(f"split_part(state, ' ', 1) = {_q(t)}" for t in EVENT_TERMINAL_STATES)
     return f"""WITH latest AS ({LATEST})
 SELECT CAST(count(*) AS BIGINT) AS n_jobs, CAST(count_if({cond}) AS BIGINT) AS n_terminal,
        CAST(COALESCE(bool_and({cond}), true) AS INT) AS all_done FROM latest"""
@@ -433,6 +445,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "iob_sentences": _iob_sentences(),
         "iob_file_sentences": _file_sentences(),
+        "iob_sentences_hash_anywhere": _hash_anywhere(),
         "iob_flat_sequence": _flat(),
         "corpus_failed_files": _failed_files(),
         "tag_encode_decode": _tag_codes(),
@@ -460,6 +473,9 @@ FROM sents GROUP BY lang, part""",
 SELECT t.lang, t.doc_id, t.line_no,
        CAST((row_number() OVER (ORDER BY r.ord, t.split_ord) - 1) // 8 AS BIGINT) AS batch_id
 FROM trs t JOIN reg r USING (lang)""",
+        "seeded_shuffle": f"""{_split_samples('all')}
+SELECT lang, doc_id, line_no, shuffle_key, CAST(row_number() OVER (ORDER BY shuffle_key) - 1 AS BIGINT) AS position
+FROM (SELECT lang, doc_id, line_no, md5(lang || '|' || doc_id || '|' || line_no || '|42') AS shuffle_key FROM trs)""",
         "argmax_labels": f"""
 SELECT vec_id, CAST(list_position(embedding[1:7], list_max(embedding[1:7])) - 1 AS BIGINT) AS pred_id,
        {_id_tag('list_position(embedding[1:7], list_max(embedding[1:7])) - 1')} AS pred_tag,
@@ -484,10 +500,10 @@ UNION ALL SELECT doc_id, line_no, 'fn' AS kind, type, b, e FROM (SELECT doc_id,
         "score_by_lang": _score("lang"),
         "score_by_type": _score_by_type(),
         "prediction_lines": f"""{SPLITS}
-SELECT t.doc_id, t.line_no,
-       string_agg('1' || chr(9) || t.word || chr(9) || t.pred || chr(9) || t.gold, chr(10) ORDER BY t.pos) AS block
-FROM tok t JOIN spl s USING (doc_id, line_no) WHERE s.lang = 'en' AND s.split = 'test'
-GROUP BY t.doc_id, t.line_no""",
+SELECT s.lang, s.doc_id, s.line_no, COALESCE(
+       string_agg('1' || chr(9) || t.word || chr(9) || t.pred || chr(9) || t.gold, chr(10) ORDER BY t.pos), '') AS block
+FROM spl s LEFT JOIN tok t USING (doc_id, line_no) WHERE s.split = 'test'
+GROUP BY s.lang, s.doc_id, s.line_no""",
         "prediction_lines_compat": _compat(),
         "prediction_file_score": _score_en_test(),
         "feature_lookup": _features(),
@@ -502,5 +518,5 @@ GROUP BY t.doc_id, t.line_no""",
 
 def _score_en_test() -> str:
     head = f"""{SPLITS},
-tok_en AS (SELECT t.* FROM tok t JOIN spl s USING (doc_id, line_no) WHERE s.lang = 'en' AND s.split = 'test')"""
+tok_en AS (SELECT t.* FROM tok t JOIN spl s USING (doc_id, line_no) WHERE s.split = 'test')"""
     return _score("", head, "tok_en")

@@ -101,5 +101,6 @@ def write_predictions(blocks: DataFrame, path: str, order: Sequence[str],
     n = num_files or max(1, blocks.sparkSession.sparkContext.defaultParallelism)
     (blocks.repartitionByRange(n, *order)
      .sortWithinPartitions(*order)
-     .select(F.concat(F.col("block"), F.lit("\n")).alias("value"))
+     # an empty sentence is its one blank line; a block ends with its own line break before it
+     .select(F.when(F.col("block") == "", "").otherwise(F.concat(F.col("block"), F.lit("\n"))).alias("value"))
      .write.mode("overwrite").text(path))

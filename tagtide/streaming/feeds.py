@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtide.operators.metrics import ratios, with_span_counts
+from tagtide.streaming.status import file_stream
 
 LINE_SCHEMA = "conv_id bigint, turn bigint, line_no bigint, line string"
 
@@ -23,9 +24,9 @@ def conversation_lines(conversations: DataFrame) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, source: str, table: str, checkpoint: str,
-                 files_per_trigger: int = 4) -> None:
+                 files_per_trigger: int | None = None) -> None:
     """Append every line record of the source folder to ``table`` (exactly once)."""
-    lines = spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(source)
+    lines = file_stream(spark, LINE_SCHEMA, files_per_trigger).json(source)
     q = (lines.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(table))
     q.awaitTermination()
@@ -36,14 +37,9 @@ COUNT_COLS = ["n_pred", "n_gold", "tp", "n_tok", "n_eq"]
 
 
 def stream_score(spark: SparkSession, source: str, table: str, checkpoint: str,
-                 files_per_trigger: int = 4) -> None:
+                 files_per_trigger: int | None = None) -> None:
     """Running span score over sentence files: per-sentence counts, summed in state."""
-    sents = (spark.readStream.schema(SENTENCE_SCHEMA)
-             .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
-    parallelism = spark.sparkContext.defaultParallelism
-    if files_per_trigger < parallelism:
-        # few large files per trigger would leave cores idle during the span work
-        sents = sents.repartition(parallelism)
+    sents = file_stream(spark, SENTENCE_SCHEMA, files_per_trigger).parquet(source)
     counts = with_span_counts(sents, "gold", "pred")
     totals = counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNT_COLS])
 

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# States after which a job no longer runs, matched as prefixes
-# ("CANCELLED by 123" is terminal).
+# States after which a job no longer runs, matched against the
+# first word ("CANCELLED by 123" is terminal, "COMPLETING" is not).
 TERMINAL_STATES = ["COMPLETED", "FAILED", "CANCELLED", "TIMEOUT",
                    "NODE_FAIL", "DEADLINE", "BOOT_FAIL", "OUT_OF_MEMORY"]
 # Terminal event types of the driver's ``events`` table (our choice).
@@ -23,7 +23,7 @@ UNKNOWN = "UNKNOWN"
 
 
 def is_terminal(state: Column, terminal: Sequence[str] = TERMINAL_STATES) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terminal]), lambda t: F.startswith(state, t))
+    return F.split(state, " ")[0].isin(list(terminal))
 
 
 def job_events(events: DataFrame, zoned: bool = False) -> DataFrame:
@@ -37,6 +37,12 @@ def job_events(events: DataFrame, zoned: bool = False) -> DataFrame:
                          "event_id", F.col("event_type").alias("state"))
 
 
+def file_stream(spark: SparkSession, schema: str, files_per_trigger: int | None = None):
+    """A file stream reader; a micro-batch takes all new files unless the caller bounds it."""
+    reader = spark.readStream.schema(schema)
+    return reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
+
+
 def latest_state(ev: DataFrame) -> DataFrame:
     """(job, state, n_events): the state of the last event of every job."""
     return ev.groupBy("job").agg(
@@ -46,12 +52,9 @@ def latest_state(ev: DataFrame) -> DataFrame:
 
 def first_state(ev: DataFrame) -> DataFrame:
     """(job, state): the first non-blank state line of every job, else UNKNOWN."""
-    clean = ev.withColumn("state", F.trim("state"))
-    first = clean.where(F.col("state") != "").groupBy("job").agg(
-        F.min_by("state", F.struct("ts", "event_id")).alias("first"))
-    jobs = ev.select("job").distinct()
-    return jobs.join(first, "job", "left").select(
-        "job", F.coalesce("first", F.lit(UNKNOWN)).alias("state"))
+    state = F.trim("state")
+    at = F.when(state != "", F.struct("ts", "event_id"))  # min_by passes over null orders
+    return ev.groupBy("job").agg(F.coalesce(F.min_by(state, at), F.lit(UNKNOWN)).alias("state"))
 
 
 def all_terminal(latest: DataFrame, terminal: Sequence[str] = TERMINAL_STATES) -> DataFrame:
@@ -64,14 +67,13 @@ def all_terminal(latest: DataFrame, terminal: Sequence[str] = TERMINAL_STATES) -
 
 
 def stream_latest_state(spark: SparkSession, source: str, schema: str, table: str,
-                        checkpoint: str, watermark: str = "1 day", files_per_trigger: int = 4) -> None:
+                        checkpoint: str, watermark: str = "1 day", files_per_trigger: int | None = None) -> None:
     """Run the latest-state aggregation over a folder of event files to completion.
 
     Each micro-batch rewrites the complete per-job table (idempotent per batch);
     the checkpoint holds the file offsets and the state store.
     """
-    ev = job_events(spark.readStream.schema(schema)
-                    .option("maxFilesPerTrigger", files_per_trigger).parquet(source), zoned=True)
+    ev = job_events(file_stream(spark, schema, files_per_trigger).parquet(source), zoned=True)
     latest = (ev.withWatermark("ts", watermark).groupBy("job").agg(
         F.max_by("state", F.struct("ts", "event_id")).alias("state"),
         F.count(F.lit(1)).cast("bigint").alias("n_events")))
