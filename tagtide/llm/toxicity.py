@@ -303,7 +303,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint"))
     marks = pick(labels, id=id_col, toxic=label_col).where("toxic in (0, 1)").groupBy(
         F.col("id").cast("bigint").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    learn = rows.where(~held_out("id") & F.col("text").isNotNull()).join(marks, "id")
+    # labels grow with the corpus: the same join at every size, never a broadcast
+    learn = rows.where(~held_out("id") & F.col("text").isNotNull()).join(marks.hint("merge"), "id")
     f = fit(materialize(learn, "toxicity-learn"), **settings)
     return score(rows, f).select("id", held_out("id").alias("held_out"), "score",
                                  (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
