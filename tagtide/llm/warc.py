@@ -28,6 +28,7 @@ INDEX = "id string, file string, offset bigint, length bigint, url string, diges
 RECORD = ("page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, "
           "refers_to string, payload binary")
 _GAP, _RANGE = 1 << 16, 8 << 20  # bytes skipped inside, and length of, one read
+_TASK = 16 << 20  # archive bytes that a reading task takes
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -153,7 +154,9 @@ def read_records(index: DataFrame, verify: bool = True, ranges: int | None = Non
 
     keys = [F.col("file"), F.col("offset")]
     dealt = index.select("file", "offset", "length")
-    dealt = dealt.repartitionByRange(ranges, *keys) if ranges else dealt.repartitionByRange(*keys)
+    if ranges is None:  # by what is read, not by the size of the index rows, which would all fit in one task
+        ranges = 1 + (dealt.agg(F.sum("length")).first()[0] or 0) // _TASK
+    dealt = dealt.repartitionByRange(ranges, *keys)
     return dealt.sortWithinPartitions("file", "offset").mapInPandas(run, RECORD).withColumns(
         {c: F.col(c).cast("bigint") for c in ("page_id", "refers_to")})
 
