@@ -103,3 +103,13 @@ def test_one_model_per_target(spark):
     res = fit_per_target(grid, sp, test.select(*keys).join(sp, keys), max_iter=3).collect()
     assert sorted(r.target_lang for r in res) == ["en", "es"]
     assert all(0.0 <= r.f1 <= 1.0 and r.n_train_tokens > 0 for r in res)
+
+
+def test_predictions_with_empty_sentences_read_back_as_written(spark, tmp_path):
+    from tagtide.sources.iob import read_predictions, sentence_block, write_predictions
+
+    rows = [(0, ["a"], ["O"], ["O"]), (1, [], [], []), (2, [], [], []), (3, ["b", "c#"], ["B-PER", "O"], ["O", "O"])]
+    df = spark.createDataFrame(rows, "k int, words array<string>, pred array<string>, gold array<string>")
+    write_predictions(df.select("k", sentence_block().alias("block")), f"{tmp_path}/p", ["k"], num_files=1)
+    back = read_predictions(spark, f"{tmp_path}/p").orderBy("sent_ord").collect()
+    assert [(r.words, r.pred, r.gold) for r in back] == [r[1:] for r in rows]
