@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.functions.pieces import END_PIECE, PAD_PIECE, START_PIECE, fixed_width_sql
@@ -80,6 +80,17 @@ def decoded_words(pieces: str = "pieces", word_ids: str = "word_ids") -> F.Colum
         f"z -> z.`{pieces}`), ''))")
 
 
+def collate(rows: DataFrame, batch: str, columns: Sequence[str], size: Column) -> DataFrame:
+    """Cut the padded array ``columns`` of every batch to its longest row.
+
+    ``size`` is a row's own length; adds ``width`` (of the batch) and ``n_pad``.
+    A batch is a few rows, so the window's groups are small.
+    """
+    df = rows.withColumn("_size", size).withColumn("width", F.max("_size").over(Window.partitionBy(batch)))
+    cut = {c: F.slice(c, F.lit(1), F.col("width").cast("int")) for c in columns}
+    return df.withColumns({**cut, "n_pad": F.col("width") - F.col("_size")}).drop("_size")
+
+
 def flat_chunks(tokens: DataFrame, file_cols: Sequence[str], order: Sequence[str],
                 chunk: Sequence, width: int = 4, seq_len: int = 128,
                 mode: str = "reference") -> DataFrame:
@@ -97,8 +108,8 @@ def flat_chunks(tokens: DataFrame, file_cols: Sequence[str], order: Sequence[str
     # one row per (word, output row) segment: a word spans one row, or more
     # when a row edge cuts it; every segment starts with the word's label
     # (a segment starting inside a word starts a row), the rest are ignored
-    first_seq = F.floor(F.col("_np_before") / room)
-    last_seq = F.floor((F.col("_np_before") + F.col("_np") - 1) / room)
+    first_seq = F.expr(f"_np_before div {room}")
+    last_seq = F.expr(f"(_np_before + _np - 1) div {room}")
     segs = words.where(F.col("_np") > 0).select(
         *file_cols, F.expr(tag_id_sql("tag", mode)).cast("int").alias("_tid"), "_np_before", "_np",
         F.explode(F.sequence(first_seq, last_seq)).alias("seq"))

@@ -9,7 +9,7 @@ from tagtide.operators.align import align, entity_count
 from tagtide.operators.order import DEFAULT_CHUNK_DOCS, doc_chunk, spread
 from tagtide.operators.splits import assign_splits
 from tagtide.session import read_table, scratch_path
-from tagtide.sources.corpus import DEFAULT_TARGETS, tagged_sentences
+from tagtide.sources.corpus import DEFAULT_TARGETS, tagged_sentences, write_corpus_files
 
 # Encoded, split-assigned corpora written in this application, by input
 # (data directory, targets).  Each is a Parquet table partitioned by
@@ -24,6 +24,9 @@ LINE_CHUNK = 256          # lines of one document per chunk of the line order
 _CORPUS: dict[tuple, str] = {}
 
 
+_FILES: dict[tuple, str] = {}
+
+
 def derive_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged sentences of ``documents``; the scan is spread over the cluster first."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
@@ -50,6 +53,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(corpus_path(spark, sf_dir))
 
 
+def corpus_files_root(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the corpus as IOB2 text files (written on first use)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FILES:
+        path = scratch_path(spark, "iob-files")
+        write_corpus_files(corpus(spark, sf_dir), path)
+        _FILES[key] = path
+    return _FILES[key]
+
+
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus with 64-wide piece labels for gold and predicted tags and entity counts."""
     a = align(corpus(spark, sf_dir), tags={"labels": "gold", "pred_labels": "pred"})

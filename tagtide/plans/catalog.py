@@ -11,9 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tagtide.functions.tags import id_tag, tag_id
-from tagtide.operators.align import decoded_words, flat_chunks
+from tagtide.functions.tags import NUM_LABELS, id_tag, tag_id
+from tagtide.operators.align import collate, decoded_words, flat_chunks
 from tagtide.operators.islands import classify_lines, group_sentences
 from tagtide.operators.metrics import score, score_by_type, span_errors as span_error_rows, span_rows
 from tagtide.operators.order import doc_chunk, ordinal
@@ -21,14 +22,15 @@ from tagtide.operators.predict import argmax, compat_lines, masked_pairs
 from tagtide.operators.report import density, density_from_counts, density_rollup
 from tagtide.operators.sample import sample_preserving_density
 from tagtide.operators.splits import quotas, smallest_sets
-from tagtide.plans.base import (LINE_CHUNK, ORDER, corpus, corpus_path, joined, sizes,
+from tagtide.plans.base import (LINE_CHUNK, ORDER, corpus, corpus_files_root, corpus_path, joined, sizes,
                                 split_chunk, with_splits)
 from tagtide.session import materialize, read_table, scratch_path, small_table
-from tagtide.sources.corpus import DEFAULT_TARGETS, PART_SUFFIXES, iob_lines, registry, tagged_tokens
-from tagtide.sources.iob import read_predictions, read_sentences, sentence_block, write_predictions
+from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, corpus_files, iob_lines, load_corpus, of_languages,
+                                    registry, tagged_tokens)
+from tagtide.sources.iob import read_predictions, sentence_block, write_predictions
 from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
 from tagtide.streaming.status import (EVENT_TERMINAL_STATES, all_terminal, first_state, job_events,
-                                      latest_state, stream_latest_state)
+                                      latest_state, read_published, stream_latest_state, stream_watch)
 
 SPLIT_ORDER = ["part_rank", "doc_id", "line_no"]
 MIX_K = 10
@@ -51,28 +53,33 @@ def iob_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iob_file_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus written as IOB2 text files and read back with the text reader.
-
-    Every file holds whole documents in line order; every sentence carries
-    ``# sent_id = doc-line`` so it can be keyed again.
-    """
-    lines = iob_lines(corpus(spark, sf), "gold").withColumn(
-        "value", F.when(F.col("idx") == 0, F.concat(F.lit("# sent_id = "), F.col("file").cast("string"),
-                                                     F.lit("-"), F.col("line_no").cast("string")))
-        .otherwise(F.col("value")))
-    path = scratch_path(spark, "iob-files")
-    n = max(1, spark.sparkContext.defaultParallelism)
-    # whole documents per file (hash on the document), each file in line order
-    (lines.repartition(n, "file").sortWithinPartitions("file", "line_no", "idx")
-     .select("value").write.text(path))
-    s = read_sentences(spark, path)
+    """The corpus as IOB2 text files, loaded by the manifest of every file that
+    may exist; language and part come from the path, the key from the comment."""
+    s, _ = load_corpus(spark, corpus_files(corpus_files_root(spark, sf)))
     head = F.coalesce(F.get(F.col("raw"), 0), F.lit(""))
-    out = s.select(
+    return s.select(
+        "lang", "part",
         F.regexp_extract(head, r"^# sent_id = ([0-9]+)-[0-9]+$", 1).try_cast("bigint").alias("doc_id"),
         F.regexp_extract(head, r"^# sent_id = [0-9]+-([0-9]+)$", 1).try_cast("bigint").alias("line_no"),
         F.size("words").cast("bigint").alias("n_words"),
         joined("words").alias("words"), joined("tags").alias("tags"))
-    return out.where(F.col("doc_id").isNotNull())
+
+
+def corpus_load_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences, words and files missing per (lang, part) of the target languages, loaded from files."""
+    files = corpus_files(corpus_files_root(spark, sf))
+    s, failed = load_corpus(spark, files, [t.upper() for t in DEFAULT_TARGETS])
+    found = s.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n_sent"), F.sum(F.size("words")).cast("bigint").alias("n_words"),
+                                          F.lit(0).alias("missing"))
+    gone = spark.createDataFrame([(lang, part, 0, 0, 1) for lang, part, _ in failed],
+                                 "lang string, part string, n_sent bigint, n_words bigint, missing int")
+    return found.unionByName(gone)
+
+
+def target_language_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The encoded sentences of one language, its code in upper case; only its partitions are read."""
+    s = of_languages(with_splits(spark, sf), GRID_TARGET.upper())
+    return s.select("lang", "split", "doc_id", "line_no", F.size("words").cast("bigint").alias("n_words"))
 
 
 def iob_sentences_hash_anywhere(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,26 +267,39 @@ def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("lang", "doc_id", "line_no", "shuffle_key", F.col("position").cast("bigint").alias("position"))
 
 
-def batch_assign(spark: SparkSession, sf: str) -> DataFrame:
-    train, _ = _split_samples(spark, sf, "all")
+def _batches(spark: SparkSession, sf: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The train mix in registry and file order, cut into batches."""
+    train, _ = _split_samples(spark, sf, "all", carry=carry)
     # the prefix reads its input twice: write the sample once instead of sampling twice
-    train = materialize(train.select("lang", "doc_id", "line_no", "split_ord"), "train-mix")
+    train = materialize(train.select("lang", "doc_id", "line_no", "split_ord", *carry), "train-mix")
     t = train.join(F.broadcast(registry(spark).select("lang", "ord")), "lang").withColumn("_all", F.lit(0))
     o = ordinal(t, ["_all"], ["ord", "split_ord"],
                 [F.col("ord"), F.expr("split_ord div 4096")], name="row", levels=3)
-    return o.select("lang", "doc_id", "line_no", F.expr(f"row div {BATCH_SIZE}").alias("batch_id"))
+    return o.select("lang", "doc_id", "line_no", F.expr(f"row div {BATCH_SIZE}").alias("batch_id"), *carry)
+
+
+def batch_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return _batches(spark, sf)
+
+
+def batch_collate(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches padded to their longest row instead of the fixed width."""
+    kept = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    c = collate(_batches(spark, sf, ("labels", "attention_mask")), "batch_id", ["labels"], kept)
+    return c.select("batch_id", "lang", "doc_id", "line_no", "width", "n_pad",
+                    F.array_join("labels", ",").alias("labels"))
 
 
 # ---- predictions, labels and scores ------------------------------------------
 
 def argmax_labels(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "embeddings")
-    scores = F.slice("embedding", 1, 7)
-    gold = F.when(F.col("label") < 7, F.col("label")).otherwise(F.lit(-100))
-    out = e.select("vec_id", argmax(scores).alias("pred_id"), gold.alias("gold_id"))
-    out = out.where(F.col("gold_id") != -100)
+    """Every vector as class scores: the largest entry is the predicted class.
+    Classes fold onto the tag ids; a row without a label is masked."""
+    e = read_table(spark, sf, "embeddings").where(F.col("label").isNotNull())
+    out = e.select("vec_id", argmax(F.col("embedding")).alias("pred_id"), F.col("label").alias("gold_id"))
     return out.select("vec_id", F.col("pred_id").cast("bigint").alias("pred_id"),
-                      id_tag("pred_id").alias("pred_tag"), id_tag("gold_id").alias("gold_tag"))
+                      id_tag(F.col("pred_id") % NUM_LABELS).alias("pred_tag"),
+                      id_tag(F.col("gold_id") % NUM_LABELS).alias("gold_tag"))
 
 
 def masked_label_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,18 +376,22 @@ FEATURE_CODES = ["eng", "fra", "deu", "spa", "slk", "swe", "nor", "heb", "ron",
 
 
 def feature_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean feature vector of every code (all vectors of its label), looked up
+    by language; languages outside the registry's codes have no row there, and
+    codes without a corpus language are kept.  Entries are summed in millionths,
+    so a sum does not depend on its order."""
     e = read_table(spark, sf, "embeddings")
     codes = spark.createDataFrame(list(enumerate(FEATURE_CODES)), "label int, iso string")
-    feats = (e.join(F.broadcast(codes), "label")
-             .groupBy("iso").agg(F.min_by(F.struct("vec_id", "embedding"), F.col("vec_id")).alias("f"))
-             .select("iso", F.col("f.vec_id").alias("vec_id"), F.col("f.embedding").alias("features")))
+    entry = e.join(F.broadcast(codes), "label").select(
+        "iso", F.posexplode("embedding").alias("dim", "x")).groupBy("iso", "dim").agg(
+        F.sum(F.round(F.col("x").cast("double") * 1e6).cast("bigint")).alias("total"), F.count("x").alias("n"))
+    mean = F.col("total").cast("double") / (F.col("n").cast("double") * 1e6)
+    feats = entry.groupBy("iso").agg(F.max("n").alias("n_vectors"), F.count(F.lit(1)).alias("n_features"),
+                                     F.min(mean).alias("f_min"), F.max(mean).alias("f_max"))
     langs = corpus(spark, sf).select("lang").distinct().join(
         F.broadcast(registry(spark).select("lang", "iso")), "lang")
-    out = langs.join(F.broadcast(feats), "iso", "left")
-    return out.select("lang", "iso", "vec_id",
-                      F.size("features").cast("bigint").alias("n_features"),
-                      F.array_min("features").cast("double").alias("f_min"),
-                      F.array_max("features").cast("double").alias("f_max"))
+    return langs.join(feats, "iso", "full").select(
+        "lang", "iso", "n_vectors", "n_features", "f_min", "f_max")
 
 
 # ---- job state and streams ---------------------------------------------------
@@ -384,15 +408,28 @@ def first_state_q(spark: SparkSession, sf: str) -> DataFrame:
     return first_state(job_events(read_table(spark, sf, "events")))
 
 
-def stream_latest_state_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Events dropped into a folder as files, drained by the streaming aggregate."""
+def _event_files(spark: SparkSession, sf: str) -> tuple[str, StructType]:
+    """Events dropped into a folder as files, in order of time."""
     events = read_table(spark, sf, "events")
-    src, table, ckpt = (scratch_path(spark, n) for n in ("events-src", "latest", "latest-ckpt"))
-    n = max(1, spark.sparkContext.defaultParallelism)
-    events.repartitionByRange(n, "ts", "event_id").write.parquet(src)
-    stream_latest_state(spark, src, events.schema.simpleString()[len("struct<"):-1].replace(":", " "),
-                        table, ckpt)
-    return spark.read.parquet(table)
+    src = scratch_path(spark, "events-src")
+    events.repartitionByRange(F.col("ts"), F.col("event_id")).write.parquet(src)
+    return src, events.schema
+
+
+def stream_latest_state_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Event files drained by the streaming aggregate."""
+    src, schema = _event_files(spark, sf)
+    table, ckpt = (scratch_path(spark, n) for n in ("latest", "latest-ckpt"))
+    stream_latest_state(spark, src, schema, table, ckpt)
+    return read_published(spark, table)
+
+
+def stream_watch_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Every job watched to its first terminal state."""
+    src, schema = _event_files(spark, sf)
+    table, ckpt = (scratch_path(spark, n) for n in ("watch", "watch-ckpt"))
+    stream_watch(spark, src, schema, table, ckpt, EVENT_TERMINAL_STATES)
+    return read_published(spark, table)
 
 
 def stream_lines_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,11 +447,28 @@ def stream_score_q(spark: SparkSession, sf: str) -> DataFrame:
     src = corpus_path(spark, sf)
     table, ckpt = (scratch_path(spark, n) for n in ("score", "score-ckpt"))
     stream_score(spark, src, table, ckpt)
-    return spark.read.parquet(table).select(*SCORE_COLS)
+    return read_published(spark, table).select(*SCORE_COLS)
 
 
 # ---- token classifier ----------------------------------------------------------
 
+def token_features_q(spark: SparkSession, sf: str) -> DataFrame:
+    """What the classifier sees of every word of the corpus."""
+    from tagtide.operators.model import FEATURES, token_features
+    f = token_features(corpus(spark, sf))
+    return f.select("lang", "doc_id", "line_no", F.col("pos").cast("bigint").alias("pos"), "word", *FEATURES, "tag",
+                    F.col("label").cast("bigint").alias("label"))
+
+
+def majority_tagger(spark: SparkSession, sf: str) -> DataFrame:
+    """One closed-form tagger per language: commonest tag of a word in the whole
+    train split, scored on the whole test split."""
+    from tagtide.operators.model import apply_majority, fit_majority
+    s = with_splits(spark, sf)
+    model = fit_majority(s.where(F.col("split") == "train"))
+    return score(apply_majority(model, s.where(F.col("split") == "test")), ["lang"]).select("lang", *SCORE_COLS)
+
+
 def token_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Train on the balanced train mix, score on the balanced test sets."""
     from tagtide.operators.model import train_and_score
@@ -427,6 +481,8 @@ def token_classifier(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iob_sentences": iob_sentences,
     "iob_file_sentences": iob_file_sentences,
+    "target_language_sentences": target_language_sentences,
+    "corpus_load_targets": corpus_load_targets,
     "iob_sentences_hash_anywhere": iob_sentences_hash_anywhere,
     "iob_flat_sequence": iob_flat_sequence,
     "corpus_failed_files": corpus_failed_files,
@@ -449,6 +505,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "density_report_sampled_vs_entire": density_report_sampled_vs_entire,
     "seeded_shuffle": seeded_shuffle,
     "batch_assign": batch_assign,
+    "batch_collate": batch_collate,
     "argmax_labels": argmax_labels,
     "masked_label_pairs": masked_label_pairs,
     "entity_spans": entity_spans,
@@ -464,7 +521,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "all_terminal": all_terminal_q,
     "first_state": first_state_q,
     "stream_latest_state": stream_latest_state_q,
+    "stream_watch": stream_watch_q,
     "stream_lines": stream_lines_q,
     "stream_score": stream_score_q,
+    "majority_tagger": majority_tagger,
+    "token_features": token_features_q,
     "token_classifier": token_classifier,
 }

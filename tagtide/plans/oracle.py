@@ -284,7 +284,8 @@ FROM s JOIN last l USING (doc_id) WHERE s.line_no <= COALESCE(l.lst, 0)"""
 
 def _file_sentences() -> str:
     return f"""{BASE}
-SELECT s.doc_id, s.line_no, CAST(len(words) AS BIGINT) AS n_words, array_to_string(words, ' ') AS words,
+SELECT s.lang, s.part, s.doc_id, s.line_no, CAST(len(words) AS BIGINT) AS n_words,
+       array_to_string(words, ' ') AS words,
        COALESCE((SELECT string_agg(gold, ' ' ORDER BY pos) FROM tok t
                  WHERE t.doc_id = s.doc_id AND t.line_no = s.line_no), '') AS tags
 FROM sents s"""
@@ -400,13 +401,16 @@ def _features() -> str:
     from tagtide.plans.catalog import FEATURE_CODES
     codes = "codes(label, iso) AS (VALUES " + ", ".join(f"({i}, {_q(c)})" for i, c in enumerate(FEATURE_CODES)) + ")"
     return f"""WITH {REG}, {codes},
+entry AS (
+  SELECT c.iso, u.dim, CAST(sum(CAST(round(CAST(u.x AS DOUBLE) * 1e6) AS BIGINT)) AS DOUBLE) AS total, count(*) AS n
+  FROM embeddings e JOIN codes c USING (label), unnest(e.embedding) WITH ORDINALITY AS u(x, dim) GROUP BY c.iso, u.dim),
 feats AS (
-  SELECT c.iso, arg_min(e.vec_id, e.vec_id) AS vec_id, arg_min(e.embedding, e.vec_id) AS features
-  FROM embeddings e JOIN codes c USING (label) GROUP BY c.iso),
+  SELECT iso, max(n) AS n_vectors, count(*) AS n_features, min(total / (CAST(n AS DOUBLE) * 1e6)) AS f_min,
+         max(total / (CAST(n AS DOUBLE) * 1e6)) AS f_max
+  FROM entry GROUP BY iso),
 langs AS (SELECT DISTINCT d.lang, r.iso FROM documents d JOIN reg r USING (lang))
-SELECT l.lang, l.iso, f.vec_id, CAST(len(f.features) AS BIGINT) AS n_features,
-       CAST(list_min(f.features) AS DOUBLE) AS f_min, CAST(list_max(f.features) AS DOUBLE) AS f_max
-FROM langs l LEFT JOIN feats f USING (iso)"""
+SELECT l.lang, iso, CAST(n_vectors AS BIGINT) AS n_vectors, CAST(n_features AS BIGINT) AS n_features, f_min, f_max
+FROM langs l FULL JOIN feats f USING (iso)"""
 
 
 LATEST = """
@@ -425,6 +429,15 @@ SELECT CAST(count(*) AS BIGINT) AS n_jobs, CAST(count_if({cond}) AS BIGINT) AS n
        CAST(COALESCE(bool_and({cond}), true) AS INT) AS all_done FROM latest"""
 
 
+def _watch() -> str:
+    from tagtide.streaming.status import EVENT_TERMINAL_STATES
+    cond = " OR ".join(f"split_part(event_type, ' ', 1) = {_q(t)}" for t in EVENT_TERMINAL_STATES)
+    return f"""WITH e AS (SELECT user_id AS job, event_type, ts, event_id, CAST({cond} AS INT) AS t FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY t DESC, CASE WHEN t = 1 THEN ts END, CASE WHEN t = 1 THEN event_id END,
+                                   ts DESC, event_id DESC) AS rn FROM e)
+SELECT job, event_type AS state, t AS ended FROM k WHERE rn = 1"""
+
+
 FIRST = """
 WITH f AS (
   SELECT user_id AS job, trim(event_type) AS state,
@@ -440,11 +453,60 @@ SELECT conv_id, turn, CAST(line_no AS BIGINT) AS line_no, line FROM (
   FROM conversations)"""
 
 
+def _load_targets() -> str:
+    parts = "parts(part) AS (VALUES " + ", ".join(f"({_q(p)})" for p, *_ in PART_SUFFIXES) + ")"
+    return f"""{BASE}, {parts}
+SELECT r.lang, p.part, CAST(count(s.doc_id) AS BIGINT) AS n_sent, CAST(COALESCE(sum(len(s.words)), 0) AS BIGINT) AS n_words,
+       CAST(count(s.doc_id) = 0 AS INT) AS missing
+FROM reg r CROSS JOIN parts p LEFT JOIN sents s ON s.lang = r.lang AND s.part = p.part
+WHERE r.lang IN {TARGETS} GROUP BY r.lang, p.part"""
+
+
+def _collate() -> str:
+    return f"""{_split_samples('all')},{_labels_sql()},
+b AS (
+  SELECT t.lang, t.doc_id, t.line_no, CAST((row_number() OVER (ORDER BY r.ord, t.split_ord) - 1) // 8 AS BIGINT) AS batch_id
+  FROM trs t JOIN reg r USING (lang)),
+w AS (
+  SELECT b.*, l.labels, least(l.n_pieces, 62) + 2 AS kept,
+         max(least(l.n_pieces, 62) + 2) OVER (PARTITION BY b.batch_id) AS width
+  FROM b JOIN lab l USING (doc_id, line_no))
+SELECT batch_id, lang, doc_id, line_no, CAST(width AS BIGINT) AS width, CAST(width - kept AS BIGINT) AS n_pad,
+       array_to_string(list_slice(labels, 1, width), ',') AS labels FROM w"""
+
+
+def _token_features() -> str:
+    shape = r"regexp_replace(regexp_replace(regexp_replace(word, '\p{Lu}', 'X', 'g'), '\p{Ll}', 'x', 'g'), '[0-9]', 'd', 'g')"
+    return f"""{BASE}
+SELECT lang, doc_id, line_no, CAST(pos AS BIGINT) AS pos, word, lower(word) AS w_lower, lower(left(word, 3)) AS w_prefix,
+       lower(right(word, 3)) AS w_suffix, {shape} AS w_shape,
+       CAST(regexp_matches(word, '^\\p{{Lu}}') AS VARCHAR) AS w_title, CAST(regexp_matches(word, '[0-9]') AS VARCHAR) AS w_digit,
+       CAST(pos = 0 AS VARCHAR) AS w_first, COALESCE(lower(lag(word) OVER w), '<s>') AS w_prev,
+       COALESCE(lower(lead(word) OVER w), '</s>') AS w_next, gold AS tag, CAST({_tag_id('gold')} AS BIGINT) AS label
+FROM tok WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY pos)"""
+
+
+def _majority() -> str:
+    head = f"""{SPLITS},
+tks AS (SELECT t.*, s.split, lower(t.word) AS lw FROM tok t JOIN (SELECT doc_id, line_no, split FROM spl) s USING (doc_id, line_no)),
+mc AS (SELECT lang, lw, gold, count(*) AS n FROM tks WHERE split = 'train' GROUP BY lang, lw, gold),
+mj AS (
+  SELECT lang, lw, gold AS tag FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, lw ORDER BY n DESC, {_tag_id('gold')}) AS rn FROM mc) WHERE rn = 1),
+tok_m AS (
+  SELECT t.doc_id, t.lang, t.line_no, t.pos, t.gold, COALESCE(m.tag, 'O') AS pred
+  FROM tks t LEFT JOIN mj m ON t.lang = m.lang AND t.lw = m.lw WHERE t.split = 'test')"""
+    return _score("lang", head, "tok_m")
+
+
 def oracle_sql() -> dict[str, str]:
     spl_cols = "lang, doc_id, line_no, split_ord"
     return {
         "iob_sentences": _iob_sentences(),
         "iob_file_sentences": _file_sentences(),
+        "corpus_load_targets": _load_targets(),
+        "target_language_sentences": f"""{SPLITS}
+SELECT lang, split, doc_id, line_no, CAST(len(words) AS BIGINT) AS n_words FROM spl WHERE lang = 'en'""",
         "iob_sentences_hash_anywhere": _hash_anywhere(),
         "iob_flat_sequence": _flat(),
         "corpus_failed_files": _failed_files(),
@@ -473,14 +535,14 @@ FROM sents GROUP BY lang, part""",
 SELECT t.lang, t.doc_id, t.line_no,
        CAST((row_number() OVER (ORDER BY r.ord, t.split_ord) - 1) // 8 AS BIGINT) AS batch_id
 FROM trs t JOIN reg r USING (lang)""",
+        "batch_collate": _collate(),
         "seeded_shuffle": f"""{_split_samples('all')}
 SELECT lang, doc_id, line_no, shuffle_key, CAST(row_number() OVER (ORDER BY shuffle_key) - 1 AS BIGINT) AS position
 FROM (SELECT lang, doc_id, line_no, md5(lang || '|' || doc_id || '|' || line_no || '|42') AS shuffle_key FROM trs)""",
         "argmax_labels": f"""
-SELECT vec_id, CAST(list_position(embedding[1:7], list_max(embedding[1:7])) - 1 AS BIGINT) AS pred_id,
-       {_id_tag('list_position(embedding[1:7], list_max(embedding[1:7])) - 1')} AS pred_tag,
-       {_id_tag('label')} AS gold_tag
-FROM embeddings WHERE label < 7""",
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS pred_id,
+       {_id_tag('(list_position(embedding, list_max(embedding)) - 1) % 7')} AS pred_tag, {_id_tag('label % 7')} AS gold_tag
+FROM embeddings WHERE label IS NOT NULL""",
         "masked_label_pairs": f"""{BASE},
 mp AS (
   SELECT doc_id, line_no, string_agg({_id_tag(_tag_id('pred'))}, ' ' ORDER BY pos) AS pred_tags,
@@ -511,8 +573,11 @@ GROUP BY s.lang, s.doc_id, s.line_no""",
         "all_terminal": _all_terminal(),
         "first_state": FIRST,
         "stream_latest_state": LATEST,
+        "stream_watch": _watch(),
         "stream_lines": LINES,
         "stream_score": _score(),
+        "token_features": _token_features(),
+        "majority_tagger": _majority(),
     }
 
 

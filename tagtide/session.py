@@ -99,3 +99,9 @@ def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the parquet tables of a data directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in whatever file system its path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -8,10 +8,14 @@ building the corpus is narrow (no shuffle).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtide.session import read_table
+from tagtide.session import path_exists, read_table
+from tagtide.sources.iob import read_sentences
 
 # ---- fixed values -------------------------------------------------------
 # Language registry of the derived corpus: code, registry order, storage
@@ -44,10 +48,6 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REGISTRY, "lang string, ord int, path_prefix string, iso string").coalesce(1)
 
 
-def part_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PART_SUFFIXES, "part string, part_rank int, suffix string").coalesce(1)
-
-
 def _part_of(lang: Column, doc_id: Column) -> Column:
     m = doc_id % 10
     expr = None
@@ -121,10 +121,11 @@ def tagged_tokens(sentences: DataFrame) -> DataFrame:
         F.col("z.words").alias("word"), F.col("z.gold").alias("gold"), F.col("z.pred").alias("pred"))
 
 
-def iob_lines(sentences: DataFrame, tag_col: str = "gold") -> DataFrame:
+def iob_lines(sentences: DataFrame, tag_col: str = "gold", keep: Sequence[str] = ()) -> DataFrame:
     """Serialise sentences as IOB2 line rows: a comment, one line per word, a blank.
 
-    iob_line(file, line_no, idx, value); the order of a file is (line_no, idx).
+    iob_line(file, line_no, idx, value) and the columns of ``keep``; the order
+    of a file is (line_no, idx).
     """
     word_lines = F.transform(
         F.arrays_zip("words", tag_col),
@@ -132,5 +133,60 @@ def iob_lines(sentences: DataFrame, tag_col: str = "gold") -> DataFrame:
     comment = F.concat(F.lit("# sent_id = "), F.col("line_no").cast("string"))
     rows = F.concat(F.array(comment), word_lines, F.array(F.lit("")))
     return sentences.select(
-        F.col("doc_id").alias("file"), "line_no",
+        *keep, F.col("doc_id").alias("file"), "line_no",
         F.posexplode(rows).alias("idx", "value"))
+
+
+def corpus_files(root: str) -> list[tuple[str, str, str]]:
+    """(lang, part, path) of every file that the registry may have under ``root``."""
+    return [(lang, part, f"{root}/file_no={len(PART_SUFFIXES) * no + rank}")
+            for lang, no, *_ in REGISTRY for part, rank, _ in PART_SUFFIXES]
+
+
+def write_corpus_files(sentences: DataFrame, root: str) -> None:
+    """The corpus as IOB2 text, one folder per (lang, part) of ``corpus_files``.
+
+    Whole documents go to a file, in line order; every sentence carries
+    ``# sent_id = doc-line``.  The folder key is an integer: Spark sorts again
+    on text keys, which would undo the order of the lines.
+    """
+    code = F.create_map(*chain.from_iterable((F.lit(lang), F.lit(no)) for lang, no, *_ in REGISTRY))
+    file_no = code[F.col("lang")] * len(PART_SUFFIXES) + F.col("part_rank")
+    lines = iob_lines(sentences.withColumn("file_no", file_no), "gold", ["file_no"])
+    head = F.concat(F.lit("# sent_id = "), F.col("file").cast("string"), F.lit("-"), F.col("line_no").cast("string"))
+    (lines.withColumn("value", F.when(F.col("idx") == 0, head).otherwise(F.col("value")))
+     .repartition("file").sortWithinPartitions("file_no", "file", "line_no", "idx")
+     .select("file_no", "value").write.partitionBy("file_no").text(root))
+
+
+def load_corpus(spark: SparkSession, files: Sequence[tuple[str, str, str]],
+                targets: str | Sequence[str] = "all") -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """(sentences, failed) of a manifest of (lang, part, path).
+
+    ``sentences`` are those of the paths that exist (files or folders), with
+    ``lang`` and ``part`` taken from the path; ``failed`` lists the others.
+    ``targets`` is a language code, several, or ``"all"``, in any case; a code
+    that the manifest does not have raises.
+    """
+    wanted = {t.lower() for t in ([targets] if isinstance(targets, str) else targets)}
+    if unknown := wanted - {"all"} - {lang for lang, *_ in files}:
+        raise ValueError(f"languages without files: {sorted(unknown)}")
+    files = [f for f in files if "all" in wanted or f[0] in wanted]
+    there = [f for f in files if path_exists(spark, f[2])]
+    failed = [f for f in files if f not in there]
+    if not there:
+        raise FileNotFoundError(f"none of {len(files)} corpus files exists")
+    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    known = F.create_map(*chain.from_iterable(
+        (bare(F.lit(path)), F.struct(F.lit(lang).alias("lang"), F.lit(part).alias("part"))) for lang, part, path in there))
+    path = bare(F.col("file"))
+    sents = read_sentences(spark, [p for *_, p in there], empty_files=False)
+    sents = sents.withColumn("_at", F.coalesce(F.try_element_at(known, path),
+                                               F.try_element_at(known, F.regexp_replace(path, "/[^/]*$", ""))))
+    return sents.select("_at.lang", "_at.part", *[c for c in sents.columns if c != "_at"]), failed
+
+
+def of_languages(sentences: DataFrame, targets: str | Sequence[str] = "all") -> DataFrame:
+    """The rows of one language, of several, or (``"all"``) of every one; the codes in any case."""
+    wanted = {t.lower() for t in ([targets] if isinstance(targets, str) else targets)}
+    return sentences if "all" in wanted else sentences.where(F.col("lang").isin(sorted(wanted)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtide.operators.metrics import ratios, with_span_counts
-from tagtide.streaming.status import file_stream
+from tagtide.streaming.status import file_stream, publish_to
 
 LINE_SCHEMA = "conv_id bigint, turn bigint, line_no bigint, line string"
 
@@ -43,9 +43,6 @@ def stream_score(spark: SparkSession, source: str, table: str, checkpoint: str,
     counts = with_span_counts(sents, "gold", "pred")
     totals = counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNT_COLS])
 
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        ratios(batch).write.mode("overwrite").parquet(table)
-
-    q = (totals.writeStream.outputMode("complete").foreachBatch(publish)
+    q = (totals.writeStream.outputMode("complete").foreachBatch(publish_to(table, ratios))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -8,10 +8,11 @@ every job, so state grows with the number of jobs, not with events).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # States after which a job no longer runs, matched against the
 # first word ("CANCELLED by 123" is terminal, "COMPLETING" is not).
@@ -37,7 +38,7 @@ def job_events(events: DataFrame, zoned: bool = False) -> DataFrame:
                          "event_id", F.col("event_type").alias("state"))
 
 
-def file_stream(spark: SparkSession, schema: str, files_per_trigger: int | None = None):
+def file_stream(spark: SparkSession, schema: str | StructType, files_per_trigger: int | None = None):
     """A file stream reader; a micro-batch takes all new files unless the caller bounds it."""
     reader = spark.readStream.schema(schema)
     return reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
@@ -66,54 +67,94 @@ def all_terminal(latest: DataFrame, terminal: Sequence[str] = TERMINAL_STATES) -
         F.coalesce(F.bool_and(t), F.lit(True)).cast("int").alias("all_done"))
 
 
-def stream_latest_state(spark: SparkSession, source: str, schema: str, table: str,
+def publish_to(table: str, shape: Callable[[DataFrame], DataFrame] = lambda b: b) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink: each batch is a folder of its own, so a reader
+    (``read_published``) finds the last whole one while the next is written,
+    and a batch that runs again replaces only itself.  Older folders go."""
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        shape(batch).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch_id={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return publish
+
+
+def read_published(spark: SparkSession, table: str) -> DataFrame:
+    """The last batch that was written whole."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch_id=*/_SUCCESS")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    batches = [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
+    if not batches:
+        raise FileNotFoundError(f"no batch is published in {table}")
+    return spark.read.parquet(f"{table}/batch_id={max(batches)}")
+
+
+def _latest(ev: DataFrame, watermark: str) -> DataFrame:
+    return latest_state(ev.withWatermark("ts", watermark))
+
+
+def _watched(ev: DataFrame, terminal: Sequence[str]) -> DataFrame:
+    """(job, state, ended): the first terminal state of a job, where its watch
+    stops, else its latest state."""
+    at = F.struct("ts", "event_id")
+    end = is_terminal(F.col("state"), terminal)
+    first_end = F.min_by("state", F.when(end, at))
+    return ev.groupBy("job").agg(F.coalesce(first_end, F.max_by("state", at)).alias("state"),
+                                 F.max(end.cast("int")).alias("ended"))
+
+
+def _drain(df: DataFrame, table: str, checkpoint: str) -> None:
+    (df.writeStream.outputMode("complete").foreachBatch(publish_to(table))
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
+def stream_latest_state(spark: SparkSession, source: str, schema: str | StructType, table: str,
                         checkpoint: str, watermark: str = "1 day", files_per_trigger: int | None = None) -> None:
     """Run the latest-state aggregation over a folder of event files to completion.
 
-    Each micro-batch rewrites the complete per-job table (idempotent per batch);
-    the checkpoint holds the file offsets and the state store.
+    The checkpoint holds the file offsets and the state store; read the result
+    with ``read_published``.
     """
     ev = job_events(file_stream(spark, schema, files_per_trigger).parquet(source), zoned=True)
-    latest = (ev.withWatermark("ts", watermark).groupBy("job").agg(
-        F.max_by("state", F.struct("ts", "event_id")).alias("state"),
-        F.count(F.lit(1)).cast("bigint").alias("n_events")))
+    _drain(_latest(ev, watermark), table, checkpoint)
 
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
 
-    q = (latest.writeStream.outputMode("complete").foreachBatch(publish)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+def stream_watch(spark: SparkSession, source: str, schema: str | StructType, table: str, checkpoint: str,
+                 terminal: Sequence[str] = TERMINAL_STATES, files_per_trigger: int | None = None) -> None:
+    """Watch every job to its first terminal state over a folder of event files."""
+    ev = job_events(file_stream(spark, schema, files_per_trigger).parquet(source), zoned=True)
+    _drain(_watched(ev, terminal), table, checkpoint)
 
 
-def watch_until_terminal(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str,
+def watch_until_terminal(spark: SparkSession, source: str, schema: str | StructType, table: str, checkpoint: str,
                          terminal: Sequence[str] = TERMINAL_STATES, poll: str = "2 seconds",
                          timeout_s: float = 600.0, watermark: str = "1 day") -> bool:
     """Keep the latest state per job up to date until every job is terminal.
 
-    Each micro-batch rewrites the per-job table and checks, on that small
-    table, whether all jobs have reached a terminal state; the driver stops
-    the query once a batch says so (or at the timeout).  Returns whether all
-    jobs ended.
+    Each micro-batch publishes the per-job table and checks, on that table,
+    whether all jobs have reached a terminal state; the driver stops the query
+    once a batch says so (or at the timeout).  Returns whether all jobs ended;
+    a stream that failed raises.
     """
     import threading
 
     done = threading.Event()
     ev = job_events(spark.readStream.schema(schema).parquet(source), zoned=True)
-    latest = (ev.withWatermark("ts", watermark).groupBy("job").agg(
-        F.max_by("state", F.struct("ts", "event_id")).alias("state"),
-        F.count(F.lit(1)).cast("bigint").alias("n_events")))
+    put = publish_to(table)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
-        flag = all_terminal(spark.read.parquet(table), terminal).first()
+        put(batch, batch_id)
+        flag = all_terminal(spark.read.parquet(f"{table}/batch_id={batch_id}"), terminal).first()
         if flag.n_jobs > 0 and flag.all_done == 1:
             done.set()
 
-    q = (latest.writeStream.outputMode("complete").foreachBatch(publish)
+    q = (_latest(ev, watermark).writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(processingTime=poll).start())
     try:
         done.wait(timeout_s)
     finally:
+        failure = q.exception()
         q.stop()
+    if failure is not None:
+        raise failure
     return done.is_set()

@@ -1,5 +1,6 @@
 """Properties: sample sizes, plan-shape invariance, streams equal batches."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagtide.operators.metrics import with_span_counts
@@ -113,3 +114,57 @@ def test_predictions_with_empty_sentences_read_back_as_written(spark, tmp_path):
     write_predictions(df.select("k", sentence_block().alias("block")), f"{tmp_path}/p", ["k"], num_files=1)
     back = read_predictions(spark, f"{tmp_path}/p").orderBy("sent_ord").collect()
     assert [(r.words, r.pred, r.gold) for r in back] == [r[1:] for r in rows]
+
+
+def test_corpus_load_by_manifest(spark, tmp_path):
+    from tagtide.sources.corpus import load_corpus, of_languages
+    for name, words in (("en-train", "a b"), ("en-test", "c"), ("fr-train", "d")):
+        text = "".join(f"{i + 1}\t{w}\tO\t-\t-\n" for i, w in enumerate(words.split()))
+        (tmp_path / f"{name}.iob2").write_text(text + "\n" + text + "\n")
+    files = [(lang, part, f"{tmp_path}/{lang}-{part}.iob2") for lang in ("en", "fr") for part in ("train", "test")]
+    s, failed = load_corpus(spark, files)
+    got = sorted((r.lang, r.part, r.sent_ord, " ".join(r.words)) for r in s.collect())
+    assert got == [("en", "test", 0, "c"), ("en", "test", 1, "c"), ("en", "train", 0, "a b"), ("en", "train", 1, "a b"),
+                   ("fr", "train", 0, "d"), ("fr", "train", 1, "d")]
+    assert failed == [("fr", "test", f"{tmp_path}/fr-test.iob2")]
+    s, failed = load_corpus(spark, files, "EN")
+    assert s.count() == 4 and failed == []
+    assert of_languages(load_corpus(spark, files)[0], "FR").count() == 2
+    assert of_languages(load_corpus(spark, files)[0]).count() == 6
+    with pytest.raises(ValueError):
+        load_corpus(spark, files, ["en", "xx"])
+    with pytest.raises(FileNotFoundError):
+        load_corpus(spark, files[3:], "fr")
+
+
+def test_published_batches(spark, tmp_path):
+    from tagtide.streaming.status import publish_to, read_published
+    table = f"{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, table)
+    put = publish_to(table)
+    for b in (0, 1, 1, 2):
+        put(spark.range(b + 1), b)
+        assert read_published(spark, table).count() == b + 1
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["batch_id=1", "batch_id=2"]
+    (tmp_path / "t" / "batch_id=3").mkdir()  # a batch cut off while it was written
+    assert read_published(spark, table).count() == 3
+
+
+def test_collate_pads_to_the_longest_of_a_batch(spark):
+    from tagtide.operators.align import collate
+    rows = spark.createDataFrame([(0, [1, 2, 0, 0], 2), (0, [3, 0, 0, 0], 1), (1, [4, 5, 6, 7], 4)],
+                                 "b int, x array<int>, n int")
+    got = sorted((r.b, r.x, r.width, r.n_pad) for r in collate(rows, "b", ["x"], F.col("n")).collect())
+    assert got == [(0, [1, 2], 2, 0), (0, [3, 0], 2, 1), (1, [4, 5, 6, 7], 4, 0)]
+
+
+def test_majority_tagger(spark):
+    from tagtide.operators.model import apply_majority, fit_majority
+    train = spark.createDataFrame([("en", 1, 0, ["Ann", "ann", "ran"], ["B-PER", "O", "O"]), ("fr", 2, 0, ["ran"], ["B-LOC"])],
+                                  "lang string, doc_id long, line_no long, words array<string>, gold array<string>")
+    model = fit_majority(train)
+    assert {(r.lang, r.word): r.tag for r in model.collect()} == {("en", "ann"): "O", ("en", "ran"): "O", ("fr", "ran"): "B-LOC"}
+    test = spark.createDataFrame([("fr", 3, 0, ["RAN", "new"], ["O", "B-PER"])], train.schema)
+    r = apply_majority(model, test).first()
+    assert (r.gold, r.pred) == (["O", "B-PER"], ["B-LOC", "O"])
