@@ -21,7 +21,8 @@ from tagtide.llm.common import materialize, pick, ship
 from tagtide.llm.components import components
 
 THRESHOLD = 0.98   # fixed value of the contract
-TABLES, BITS = 16, 14  # a pair at cosine 0.98 meets in some table with probability 0.9997
+MISS = 3e-4        # chance that a pair at the threshold meets in no table
+MIN_BITS = 14      # 17 tables at a threshold of 0.98
 BLOCK = 1024
 SEED = 42
 
@@ -30,6 +31,15 @@ def planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
 
 
+def hash_size(n: int, threshold: float, block: int, miss: float = MISS) -> tuple[int, int]:
+    """(tables, bits) for n classes: the bits grow with log n, so that a bucket
+    of unlike vectors stays about a block, and the tables with the bits, so
+    that a pair at the threshold is missed no more often than ``miss``."""
+    bits = max(MIN_BITS, (n // block).bit_length())
+    meet = (1 - np.arccos(threshold) / np.pi) ** bits
+    return int(np.ceil(np.log(miss) / np.log1p(-meet))), bits
+
+
 def signatures(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     """(vectors, tables) sign hashes."""
     on = (x @ planes(x.shape[1], tables, bits, seed) > 0).reshape(len(x), tables, bits)
@@ -72,7 +82,7 @@ def block_links(a: pd.DataFrame, b: pd.DataFrame | None, table: int, threshold:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
-                    label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, bits: int = BITS,
+                    label_col: str = "label", threshold: float = THRESHOLD, tables: int | None = None, bits: int | None = None,
                     block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
@@ -94,6 +104,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         F.min("id").alias("cls"), F.count("*").alias("copies"), F.any_value("v").alias("v"),
         F.any_value("label").alias("label")).withColumn("sub", F.xxhash64("key")), "vector-classes")
 
+    if tables is None or bits is None:
+        auto = hash_size(classes.count(), threshold, block)
+        tables, bits = tables or auto[0], bits or auto[1]
+
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             size = b["v"].map(len)

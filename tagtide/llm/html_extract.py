@@ -31,21 +31,27 @@ CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot",
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: names of page furniture in class, id and role
+#: what may stand in a head; anything else ends one that was not closed
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+#: names of page furniture in class, id and role (a "with-sidebar" frame is none)
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|"
+    r"(?:^|(?<!with)(?<!has)(?<!no)[\s_-])(?:ad(?:s|box|slot|unit|space)?|adsby\w*|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|"
     r"comments?|comment-?list|disqus|respond|replies|reply|cookie\w*|consent|notice|notification|alert|popup|modal|overlay|newsletter|"
     r"subscribe|signup|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|complementary|"
     r"contentinfo|navigation|search)(?:$|[\s_-])", re.I)
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: names that make even an article furniture
+ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus|repl(?:y|ies)|related|teaser)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "score", "length", "linked")
+    __slots__ = ("tag", "attrs", "parent", "kids", "score", "length", "linked", "core")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None") -> None:
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
         self.score, self.length, self.linked = 0.0, 0, 0
+        self.core = False  # holds an article or a main part
 
 
 class Tree(HTMLParser):
@@ -63,7 +69,13 @@ class Tree(HTMLParser):
                 return
             node = node.parent
 
+    def _end_head(self) -> None:
+        if self.at.tag == "head":
+            self.at = self.at.parent
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in CLOSES_P:
             self._pop_to({"p"}, {"td", "th", "table", "button", "caption", "object", "template"})
         if tag in ENDS:
@@ -81,13 +93,28 @@ class Tree(HTMLParser):
         self._pop_to({tag}, stop)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         self.at.kids.append(data)
 
 
+def _names(node: Node) -> str:
+    return " ".join(str(node.attrs.get(k) or "") for k in ("class", "id", "role"))
+
+
 def _furniture(node: Node) -> bool:
-    if node.tag in SKIP or "hidden" in node.attrs:
+    if "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
+        return True
+    if HIDDEN_STYLE.search(str(node.attrs.get("style") or "")):
         return True
-    if node.tag in ("html", "body", "article", "main"):
+    if node.tag == "form" and node.core:  # a form around the whole page
+        return False
+    if node.tag in SKIP:
+        return True
+    names = _names(node)
+    if node.tag in ("article", "main"):
+        return bool(names.strip() and ASIDE.search(names))
+    if node.tag in ("html", "body"):
         return False
     if node.tag == "header":  # a page's header; an article's own holds its headline
         up = node.parent
@@ -95,12 +122,19 @@ def _furniture(node: Node) -> bool:
             up = up.parent
         if up is None:
             return True
-    names = " ".join(str(node.attrs.get(k) or "") for k in ("class", "id", "role"))
-    return bool(names.strip() and FURNITURE.search(names)) or node.attrs.get("aria-hidden") == "true"
+    return bool(names.strip() and FURNITURE.search(names)) and not node.core
 
 
 def _walk(root: Node) -> list[Node]:
     """Elements that are no furniture, parents first (no recursion: pages may nest deep)."""
+    every, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        every.append(node)
+        todo += [k for k in node.kids if not isinstance(k, str)]
+    for node in reversed(every):  # children first
+        node.core = any(not isinstance(k, str) and (k.core or k.tag in ("article", "main") and not _furniture(k))
+                        for k in node.kids) and node.tag not in ("nav", "aside", "footer", "dialog")
     out, todo = [], [root]
     while todo:
         node = todo.pop()

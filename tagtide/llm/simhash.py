@@ -26,6 +26,7 @@ from tagtide.llm.components import components
 
 #: fixed values of the contract
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
+SHARD, MIN_SHARD_BITS = 4096, 12  # a shard's own fingerprints; fewest head bits that name a shard
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -115,11 +116,16 @@ def shard_links(fps: np.ndarray, flips: np.ndarray, tail_bits: int, radius: int,
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, shard_bits: int = 12) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, shard_bits: int | None = None) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints (column fp) at most
-    ``max_bits`` apart.  ``shard_bits`` sets the number of shards: two more
-    bits for each fourfold growth of the fingerprints keep a shard's size."""
+    ``max_bits`` apart, an even number: half of it is the balls' radius.
+    ``shard_bits`` sets the number of shards, not the links; by default it
+    follows the number of fingerprints, so that a shard has about SHARD of its own."""
+    if max_bits < 0 or max_bits % 2:
+        raise ValueError("max_bits must be even: two balls of one radius meet at an even distance")
     ship(fps.sparkSession)
+    if shard_bits is None:
+        shard_bits = max(MIN_SHARD_BITS, (fps.count() // SHARD).bit_length())
     radius, tail = (max_bits + 1) // 2, 64 - shard_bits
     heads = [(int(m), k) for k in range(radius + 1) for m in _masks(range(shard_bits), k)]
 
@@ -159,7 +165,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, shard_bits: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS, shard_bits: int = 12) -> DataFrame:
+                    max_bits: int = MAX_BITS, shard_bits: int | None = None) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
     component_id is the least id reachable over links of at most ``max_bits``

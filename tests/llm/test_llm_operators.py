@@ -148,6 +148,19 @@ def test_shard_links_reach_every_pair_within_the_radius():
         assert least_reachable(nodes, pairs) == least_reachable(nodes, near)
 
 
+def test_simhash_shards_do_not_change_the_links(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 30)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, n, False)) for b in base for n in (0, 1, 2, 4, 5)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    want = least_reachable(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+    for bits in (None, 3, 16):
+        got = [tuple(r) for r in simhash.fingerprint_links(df, 4, bits).collect()]
+        assert all((a ^ b).bit_count() <= 4 for a, b in got) and least_reachable(fps, got) == want
+    with pytest.raises(ValueError):
+        simhash.fingerprint_links(df, 3)
+
+
 # --- op3 -----------------------------------------------------------------
 
 LONG = "A sentence, with commas, that is long enough to be taken for prose, and then some more words."
@@ -166,6 +179,24 @@ def test_html_main_text(html, want):
     assert html_extract.extract(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    # tags that may be left out: the head's end, the body
+    (f"<html><head><title>t</title><body><article><p>{LONG}</article>", LONG),
+    (f"<head><meta charset=utf-8><p>{LONG}<p>{LONG}", f"{LONG}\n\n{LONG}"),
+    # frames with furniture's names, and a form around the page
+    (f"<div class='layout with-sidebar'><div class=text><p>{LONG}</div></div>", LONG),
+    (f"<div id=header><main><p>{LONG}</main></div>", LONG),
+    (f"<form id=aspnet><input><article><p>{LONG}</article></form>", LONG),
+    # comments that are articles, hidden parts, advert boxes, notices
+    (f"<article><p>{LONG}</p></article><article class='comment-body'><p>{LONG} {LONG}</p></article>", LONG),
+    (f"<section id=comments><article class=comment><p>{LONG}</article></section><div><p>{LONG}</div>", LONG),
+    (f"<article><p>{LONG}<div style='display: none'>{LONG}</div><ins class=adsbygoogle>buy</ins>"
+     f"<div class='cookie-notice'><p>{LONG}</div><div role=search>find</div></article>", LONG),
+])
+def test_html_frames_and_furniture(html, want):
+    assert html_extract.extract(html) == want
+
+
 def test_html_deep_and_long_pages():
     assert html_extract.extract("<div>" * 20_000 + LONG) == LONG
     assert html_extract.extract("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>").count(LONG) == 3000
@@ -350,6 +381,14 @@ def test_embeddings_equal_brute_force(spark):
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], r["vec_id"] is not None)
 
 
+def test_embedding_tables_grow_with_the_vectors():
+    sizes = [embed_dedup.hash_size(n, 0.98, 1024) for n in (0, 10**6, 10**8, 10**10)]
+    assert sizes[0] == sizes[1] == (17, 14) and sizes == sorted(sizes) and sizes[3][1] == 24
+    for tables, bits in sizes:
+        meet = (1 - np.arccos(0.98) / np.pi) ** bits
+        assert (1 - meet) ** tables <= embed_dedup.MISS
+
+
 # --- op10 ----------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
