@@ -135,27 +135,33 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        now: tuple | None = None
 
         def done() -> list[tuple]:
             g = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            b1, b2, table = (int(g[c].iloc[0]) for c in ("b1", "b2", "tab"))
+            if len(g) < 2:
+                return []
+            _, _, table, _, b1, b2 = now  # in the order of group
             counts, edges = (block_links(g, None, table, threshold) if b1 == b2 else block_links(
                 g[g["b"] == b1], g[g["b"] == b2], table, threshold))
             return [(*c, None) for c in counts] + [(a, 0, None, z) for a, z in edges]
 
         for batch in batches:
-            key = batch[group].astype(str).agg("|".join, axis=1).to_numpy()
-            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(batch)]
+            if not len(batch):
+                continue
+            keys = [batch[c].to_numpy() for c in group]
+            new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            cut = [0, *(np.flatnonzero(new) + 1), len(batch)]
             out: list = []
             for lo, hi in zip(cut[:-1], cut[1:]):
-                part = batch.iloc[lo:hi]
-                if held and tuple(held[-1][group].iloc[0]) != tuple(part[group].iloc[0]):
-                    if sum(map(len, held)) > 1:
-                        out += done()
-                    held = []
-                held.append(part)
+                key = tuple(k[lo] for k in keys)
+                if held and now != key:
+                    out += done()
+                    held.clear()
+                now = key
+                held.append(batch.iloc[lo:hi])
             yield _found(out)
-        if held and sum(map(len, held)) > 1:
+        if held:
             yield _found(done())
 
     found = materialize(dealt.mapInPandas(compare, "cls bigint, sub bigint, n bigint, other bigint"), "vector-links")
