@@ -3,7 +3,7 @@
 Equal vectors of a label form a class first.  Each class vector gets a sign
 hash in each of several tables; classes that share a bucket are compared by
 exact cosine in double precision, and links go to distributed connected
-components.  A bucket larger than a block is dealt over pairs of blocks, each
+components.  Small buckets share a matrix product.  A bucket larger than a block is dealt over pairs of blocks, each
 a task's matrix product; a pair is counted in the first table where it meets,
 so the counts hold every link once and no pair is ever written out.
 """
@@ -24,6 +24,7 @@ THRESHOLD = 0.98   # fixed value of the contract
 MISS = 3e-4        # chance that a pair at the threshold meets in no table
 MIN_BITS = 14      # 17 tables at a threshold of 0.98
 BLOCK = 1024
+POOL = 256          # rows of small buckets that share a matrix product
 SEED = 42
 
 
@@ -46,26 +47,26 @@ def signatures(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     return (on * (1 << np.arange(bits))).sum(2).astype(np.int32)
 
 
-def block_links(a: pd.DataFrame, b: pd.DataFrame | None, table: int, threshold: float
-                ) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Links between the rows of a block (b None), or of two: rows met by each
-    class, weighted by copies, and a spanning forest of the links."""
-    rows = a if b is None else pd.concat([a, b], ignore_index=True)
+def block_links(rows: pd.DataFrame, bucket: np.ndarray, half: int | None, threshold: float) -> pd.DataFrame:
+    """Links within the buckets of ``rows`` (half None), or of the first
+    ``half`` rows with the others: rows met by each class, weighted by copies,
+    and a spanning forest of the links."""
     x = np.array(rows["x"].tolist(), np.float64)
-    sig = np.array(rows["sig"].tolist(), np.int32)
-    cls, sub, copies = (rows[c].to_numpy(np.int64) for c in ("cls", "sub", "copies"))
-    n = len(a)
-    cos = x @ x.T if b is None else x[:n] @ x[n:].T
-    i, j = np.nonzero(cos >= threshold)
-    if b is None:
-        i, j = i[i < j], j[i < j]
+    cls, sub, copies, table = (rows[c].to_numpy(np.int64) for c in ("cls", "sub", "copies", "tab"))
+    if half is None:
+        i, j = np.nonzero(x @ x.T >= threshold)
+        own = (i < j) & (bucket[i] == bucket[j])
+        i, j = i[own], j[own]
     else:
-        j = j + n
-    if table:  # met in an earlier table already
+        i, j = np.nonzero(x[:half] @ x[half:].T >= threshold)
+        j = j + half
+    if len(i) and table.any():  # met in an earlier table already
+        sig = np.array(rows["sig"].tolist(), np.int32)
+        order = np.arange(sig.shape[1])
         new = np.ones(len(i), bool)
         for lo in range(0, len(i), 1 << 18):
             s = slice(lo, lo + (1 << 18))
-            new[s] = ~(sig[i[s], :table] == sig[j[s], :table]).any(1)
+            new[s] = ~((sig[i[s]] == sig[j[s]]) & (order < table[i[s], None])).any(1)
         i, j = i[new], j[new]
     met = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
     label = np.arange(len(rows))
@@ -77,8 +78,29 @@ def block_links(a: pd.DataFrame, b: pd.DataFrame | None, table: int, threshold:
         if (low == label).all():
             break
         label = low
-    linked = np.flatnonzero(label != np.arange(len(rows)))
-    return [(int(cls[k]), int(sub[k]), int(met[k])) for k in np.flatnonzero(met)], [(int(cls[k]), int(cls[label[k]])) for k in linked]
+    linked, counted = np.flatnonzero(label != np.arange(len(rows))), np.flatnonzero(met)
+    none = lambda n: pd.array([pd.NA] * n, dtype="Int64")
+    counts = pd.DataFrame({"cls": cls[counted], "sub": sub[counted],
+                           "n": pd.array(met[counted].astype(np.int64), dtype="Int64"), "other": none(len(counted))})
+    forest = pd.DataFrame({"cls": cls[linked], "sub": np.zeros(len(linked), np.int64), "n": none(len(linked)),
+                           "other": pd.array(cls[label[linked]], dtype="Int64")})
+    return pd.concat([counts, forest], ignore_index=True)
+
+
+def pooled(edges: np.ndarray, alone: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+    """Runs [lo, hi) of whole groups, given the edges of the groups: small
+    ones together up to ``rows`` rows; one that is larger, or marked, alone."""
+    lo = 0
+    for g in range(len(alone)):
+        start, end = int(edges[g]), int(edges[g + 1])
+        if lo < start and (alone[g] or end - lo > rows):
+            yield lo, start
+            lo = start
+        if alone[g] or end - lo > rows:
+            yield lo, end
+            lo = end
+    if lo < int(edges[-1]):
+        yield lo, int(edges[-1])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -134,35 +156,35 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         *[F.col(c) for c in group]).sortWithinPartitions(*group, "b")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        now: tuple | None = None
-
-        def done() -> list[tuple]:
-            g = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            if len(g) < 2:
-                return []
-            _, _, table, _, b1, b2 = now  # in the order of group
-            counts, edges = (block_links(g, None, table, threshold) if b1 == b2 else block_links(
-                g[g["b"] == b1], g[g["b"] == b2], table, threshold))
-            return [(*c, None) for c in counts] + [(a, 0, None, z) for a, z in edges]
+        held: list[pd.DataFrame] = []  # the group that the next batch may go on with
+
+        def edges(rows: pd.DataFrame) -> np.ndarray:
+            keys = [rows[c].to_numpy() for c in group]
+            return np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1, len(rows)]
+
+        def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            cut = edges(rows)
+            bucket = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+            b, b1, b2 = (rows[c].to_numpy() for c in ("b", "b1", "b2"))
+            across = (b1 != b2)[cut[:-1]]
+            for lo, hi in pooled(cut, across, POOL):
+                half = int((b[lo:hi] == b1[lo]).sum()) if b1[lo] != b2[lo] else None
+                if hi - lo > 1 and half != hi - lo:
+                    yield block_links(rows.iloc[lo:hi], bucket[lo:hi], half, threshold)
 
         for batch in batches:
             if not len(batch):
                 continue
-            keys = [batch[c].to_numpy() for c in group]
-            new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            cut = [0, *(np.flatnonzero(new) + 1), len(batch)]
-            out: list = []
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                key = tuple(k[lo] for k in keys)
-                if held and now != key:
-                    out += done()
-                    held.clear()
-                now = key
-                held.append(batch.iloc[lo:hi])
-            yield _found(out)
+            if held and any(held[-1][c].iloc[-1] != batch[c].iloc[0] for c in group):
+                yield from done(pd.concat(held, ignore_index=True))
+                held = []
+            last = int(edges(batch)[-2])
+            if last:
+                yield from done(pd.concat([*held, batch.iloc[:last]], ignore_index=True))
+                held = []
+            held.append(batch.iloc[last:])
         if held:
-            yield _found(done())
+            yield from done(pd.concat(held, ignore_index=True))
 
     found = materialize(dealt.mapInPandas(compare, "cls bigint, sub bigint, n bigint, other bigint"), "vector-links")
     comp = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
@@ -175,7 +197,3 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
                       component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
-
-
-def _found(rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["cls", "sub", "n", "other"]).astype({"cls": "int64", "sub": "int64", "n": "Int64", "other": "Int64"})

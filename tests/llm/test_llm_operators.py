@@ -356,7 +356,8 @@ def test_packer_bounds_its_open_windows():
 
 # --- op8 -----------------------------------------------------------------
 
-def test_embeddings_equal_brute_force(spark):
+@pytest.mark.parametrize("batch", [5, 10000])  # groups that go on over several batches, and many groups in one
+def test_embeddings_equal_brute_force(spark, batch):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((40, 32))
     x = [*base, *(base[:20] + 0.1 * rng.standard_normal((20, 32))), *([base[3]] * 30),
@@ -365,7 +366,12 @@ def test_embeddings_equal_brute_force(spark):
     odd = [(900, None, 1), (901, [], 1), (902, [0.0] * 32, 1), (903, [float("nan")] * 32, 1), (904, [None] + [1.0] * 31, 1),
            (905, rows[3][1], None), (906, [float("inf")] * 32, 1), (907, [1.0, 2.0], 1), (None, rows[3][1], 1)]
     df = spark.createDataFrame([*rows, *odd], "vec_id bigint, embedding array<float>, label int").withColumn("cls", F.lit(1))
-    got = embed_dedup.near_duplicates(df, block=16).collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = embed_dedup.near_duplicates(df, block=16).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == len(rows) + len(odd)
     u = np.array([r[1] for r in rows])
     u /= np.linalg.norm(u, axis=1)[:, None]
@@ -381,6 +387,19 @@ def test_embeddings_equal_brute_force(spark):
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], r["vec_id"] is not None)
 
 
+def test_small_buckets_are_pooled_whole():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        sizes = rng.integers(1, 9, rng.integers(1, 12))
+        cut, alone = np.r_[0, np.cumsum(sizes)], rng.random(len(sizes)) < 0.2
+        runs = list(embed_dedup.pooled(cut, alone, 10))
+        assert [lo for lo, _ in runs] == [0, *[hi for _, hi in runs[:-1]]] and runs[-1][1] == cut[-1]
+        for lo, hi in runs:
+            inside = [g for g in range(len(sizes)) if lo <= cut[g] < hi]
+            assert set(cut[inside]) | {hi} <= set(cut)
+            assert len(inside) == 1 or (hi - lo <= 10 and not alone[inside].any())
+
+
 def test_embedding_tables_grow_with_the_vectors():
     sizes = [embed_dedup.hash_size(n, 0.98, 1024) for n in (0, 10**6, 10**8, 10**10)]
     assert sizes[0] == sizes[1] == (17, 14) and sizes == sorted(sizes) and sizes[3][1] == 24
