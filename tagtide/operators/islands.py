@@ -1,26 +1,33 @@
 """Sentences from IOB2 line rows: blank lines end sentences (gaps and islands).
 
 A line's sentence number is the count of blank lines before it in its file.
-Lines are cut into bounded *chunks* (a file split, or a range of line
-numbers); a window per (file, chunk) counts blanks locally, fragments are
-grouped inside the same partitioning (no second shuffle of the lines), and a
-small per-chunk table of blank counts gives the offsets.  Only fragments at a
-chunk edge, at most two per chunk, are regrouped to stitch sentences that
-cross a chunk boundary.
+Lines are cut into bounded *chunks* and folded into fragments, the part of a
+sentence inside one chunk; a small per-chunk table of blank counts gives the
+offsets.  Only fragments at a chunk edge, at most two per chunk, are regrouped
+to stitch sentences that cross a chunk boundary.
+
+Two ways lead to the fragments.  Lines that come from a scan in file order
+(``fold_scan``) are folded where they are read, an Arrow batch of a split being
+the chunk: no line is shuffled.  Lines in any other layout (``group_sentences``)
+are windowed per (file, chunk) and grouped inside the same partitioning.
 
 Blank lines are grouped with the sentence they end, so empty sentences in the
 middle of a file survive; empty sentences at the end of a file are dropped,
-and a file without words keeps its first (empty) sentence.
+and a file without words keeps its first (empty) sentence.  A sentence is one
+row: a file without blank lines is a single sentence, and as large as that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtide.session import scratch_path
+from tagtide.session import materialize
 
 
 def classify_lines(lines: DataFrame, comment: str = "start", word_field: int = 1,
@@ -86,41 +93,95 @@ def group_sentences(lines: DataFrame, file_cols: Sequence[str], order: Sequence[
         F.array_sort(F.collect_list(item)).alias("_items"),
         F.max(F.when(F.col("kind") == "b", 1).otherwise(0)).alias("_closed"),
         F.max(F.when(F.col("kind") == "w", 1).otherwise(0)).alias("_has_words"))
-    # the fragments feed four consumers (chunk totals, last sentence with
-    # words, whole sentences, edges): write them once to the shared folder so
-    # the sort, window and collect above the shuffle run a single time
-    spark = lines.sparkSession
-    path = scratch_path(spark, "fragments")
-    frags.write.parquet(path)
-    frags = spark.read.parquet(path)
-    totals = frags.groupBy(*files, *chunk_cols).agg(F.sum("_closed").alias("_blanks"))
-    ow = Window.partitionBy(*files).orderBy(*chunk_cols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*files, *chunk_cols,
+    words = F.filter("_items", lambda x: x["kind"] == "w")
+    frags = frags.select(
+        *files, *chunk_cols, "_local", "_closed", "_has_words",
+        F.transform(words, _field("text")).alias("words"), F.transform(words, _field("tag")).alias("tags"),
+        F.transform(F.filter("_items", lambda x: x["kind"] != "b"), _field("text")).alias("raw"),
+        *[F.transform(words, _field(name)).alias(name) for name in extra])
+    return stitch(frags, files, chunk_cols, list(extra))
+
+
+def fold_scan(lines: DataFrame, comment: str = "start", word_field: int = 1, tag_field: int = 2,
+              extra: dict[str, int] | None = None) -> DataFrame:
+    """sentence(file, sent_ord, words, tags, raw, extra...) from the rows of
+    ``sources.iob.read_lines``, taken directly after the scan: file,
+    block_start, line_id, value, each split's lines standing together in order."""
+    fields = {"words": word_field, "tags": tag_field, **(extra or {})}
+    if comment not in ("start", "anywhere"):
+        raise ValueError(f"unknown comment rule {comment!r}")
+
+    def lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = batch.column("value")
+            marked = pc.starts_with(value, "#") if comment == "start" else pc.match_substring(value, "#")
+            if comment == "anywhere":
+                batch = batch.filter(pc.invert(marked))
+                value, marked = batch.column("value"), None
+            if not len(batch):
+                continue
+            blank = pc.equal(value, "").to_numpy(zero_copy_only=False)
+            is_word = ~blank if marked is None else ~blank & ~marked.to_numpy(zero_copy_only=False)
+            file = batch.column("file").dictionary_encode().indices.to_numpy()
+            block = batch.column("block_start").to_numpy()
+            other = np.r_[True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])]
+            starts = np.flatnonzero(other | np.r_[False, blank[:-1]])
+            frag = np.cumsum(other | np.r_[False, blank[:-1]]) - 1
+            chunk = np.maximum.accumulate(np.where(other, np.arange(len(batch)), 0))[starts]  # its first line
+            before = np.cumsum(blank) - blank
+            n_words = np.bincount(frag[is_word], minlength=len(starts))
+            cells = pc.split_pattern(value.filter(pa.array(is_word)), "\t")
+            if len(cells) and pc.min(pc.list_value_length(cells)).as_py() <= max(fields.values()):
+                raise ValueError(f"a word line has no field {max(fields.values())}")
+            texts = {name: pc.list_element(cells, k) for name, k in fields.items()}
+            raw = pc.replace_with_mask(value, pa.array(is_word), texts["words"]).filter(pa.array(~blank))
+            columns = {
+                "file": batch.column("file").take(pa.array(starts)), "_c0": pa.array(block[starts]),
+                "_c1": pa.array(batch.column("line_id").to_numpy()[chunk]),
+                "_local": pa.array(before[starts] - before[chunk]),
+                "_closed": pa.array(blank[np.r_[starts[1:], len(batch)] - 1].astype(np.int32)),
+                "_has_words": pa.array((n_words > 0).astype(np.int32)),
+                **{name: lists(n_words, x) for name, x in texts.items()},
+                "raw": lists(np.bincount(frag[~blank], minlength=len(starts)), raw)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    frags = lines.select("file", "block_start", "line_id", "value").mapInArrow(fold, ", ".join([
+        "file string, _c0 bigint, _c1 bigint, _local bigint, _closed int, _has_words int",
+        *[f"`{name}` array<string>" for name in [*fields, "raw"]]]))
+    return stitch(frags, ["file"], ["_c0", "_c1"], list(extra or {}))
+
+
+def stitch(frags: DataFrame, files: Sequence[str], chunk_cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Sentences from fragments (file..., chunk..., _local: blanks before it in
+    its chunk, _closed: ends in a blank, _has_words, words, tags, raw, extra...)."""
+    files, chunk_cols = list(files), list(chunk_cols)
+    arrays = ["words", "tags", "raw", *extra]
+    # the fragments feed the chunk totals, whole sentences and edges: written
+    # once to the shared folder, so that what made them runs a single time
+    frags = materialize(frags, "fragments")
+    totals = frags.groupBy(*files, *chunk_cols).agg(
+        F.sum("_closed").alias("_blanks"), F.max(F.when(F.col("_has_words") == 1, F.col("_local"))).alias("_word_local"))
+    file_w = Window.partitionBy(*files)
+    ow = file_w.orderBy(*chunk_cols).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*files, *chunk_cols, "_word_local",
                             F.coalesce(F.sum("_blanks").over(ow), F.lit(0)).cast("bigint").alias("_off"))
-    numbered = frags.join(offsets, on=[*files, *chunk_cols]).withColumn(
-        "sent_ord", F.col("_off") + F.col("_local"))
     # empty sentences at the end of a file are dropped; a file without words
     # keeps its first sentence
-    last = numbered.where(F.col("_has_words") == 1).groupBy(*files).agg(F.max("sent_ord").alias("_last"))
-    numbered = (numbered.join(last, on=files, how="left")
-                .where(F.col("sent_ord") <= F.coalesce(F.col("_last"), F.lit(0))))
+    offsets = offsets.withColumn("_last", F.coalesce(F.max(F.col("_off") + F.col("_word_local")).over(file_w), F.lit(0)))
+    numbered = (frags.join(offsets.drop("_word_local"), on=[*files, *chunk_cols])
+                .withColumn("sent_ord", F.col("_off") + F.col("_local")).where(F.col("sent_ord") <= F.col("_last")))
     # a fragment that starts its chunk, or is not closed by a blank, may
     # continue in a neighbouring chunk; everything else is a whole sentence
     edge = (F.col("_local") == 0) | (F.col("_closed") == 0)
-    whole = numbered.where(~edge).select(*files, "sent_ord", "_items")
-    stitched = (numbered.where(edge)
-                .groupBy(*files, "sent_ord")
-                .agg(F.array_sort(F.collect_list(F.struct(*chunk_cols, "_items"))).alias("_parts"))
-                .select(*files, "sent_ord", F.flatten(F.transform("_parts", lambda p: p["_items"])).alias("_items")))
-    sents = whole.unionByName(stitched)
-    sents = sents.select(
-        *files, "sent_ord",
-        F.transform(F.filter("_items", lambda x: x["kind"] == "w"), lambda x: x["text"]).alias("words"),
-        F.transform(F.filter("_items", lambda x: x["kind"] == "w"), lambda x: x["tag"]).alias("tags"),
-        F.transform(F.filter("_items", lambda x: x["kind"] != "b"), lambda x: x["text"]).alias("raw"),
-        *[F.transform(F.filter("_items", lambda x: x["kind"] == "w"), _field(name)).alias(name)
-          for name in extra])
-    return sents
+    whole = numbered.where(~edge).select(*files, "sent_ord", *arrays)
+    stitched = (numbered.where(edge).groupBy(*files, "sent_ord")
+                .agg(F.array_sort(F.collect_list(F.struct(*chunk_cols, *arrays))).alias("_parts"))
+                .select(*files, "sent_ord",
+                        *[F.flatten(F.transform("_parts", _field(name))).alias(name) for name in arrays]))
+    return whole.unionByName(stitched)
 
 
 def _field(name: str):

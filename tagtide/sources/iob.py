@@ -3,9 +3,8 @@
 File order is (file path, split start, row id inside the split).  Spark reads
 one split per task in file order, so ``monotonically_increasing_id`` taken
 directly after the scan orders the rows of a split; the split start orders the
-splits.  A split is bounded (``spark.sql.files.maxPartitionBytes``), so it is
-the chunk of the two-level sentence numbering: one large file never becomes
-one task.
+splits.  A split is bounded (``spark.sql.files.maxPartitionBytes``) and folded
+into sentences where it is read, so one large file never becomes one task.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtide.operators.islands import classify_lines, group_sentences
+from tagtide.operators.islands import classify_lines, fold_scan
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -39,9 +38,7 @@ def read_sentences(spark: SparkSession, paths: str | Sequence[str], comment: str
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = read_lines(spark, paths)
-    sents = group_sentences(lines, ["file"], ["block_start", "line_id"],
-                            chunk=[F.col("block_start")], comment=comment,
-                            word_field=word_field, tag_field=tag_field, extra=extra)
+    sents = fold_scan(lines, comment, word_field, tag_field, extra)
     if not empty_files:
         return sents
     bare = lambda c: F.regexp_replace(c, "^file:(//)?", "")
