@@ -5,7 +5,8 @@ bounded table, not data that grows with the corpus) and applied by an
 Arrow-batched pandas UDF, one sentence (array of words) per value.  A word is
 cut from the left into the longest pieces found in the vocabulary, later
 pieces carrying the continuation marker; a word that cannot be covered, or is
-longer than ``max_chars``, becomes the unknown piece.
+longer than ``max_chars``, becomes the unknown piece.  ``split_distinct``
+cuts every distinct word once.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def greedy_pieces(word: str, vocab: frozenset, cont: str = CONTINUATION,
 
 
 def vocab_splitter(spark: SparkSession, vocab: Iterable[str] | DataFrame, column: str = "piece",
-                   max_vocab: int = MAX_VOCAB):
+                   max_vocab: int = MAX_VOCAB, max_chars: int = MAX_CHARS):
     """A Column function ``words -> array<array<string>>`` (pieces of every word)."""
     if isinstance(vocab, DataFrame):
         n = vocab.count()
@@ -61,9 +62,28 @@ def vocab_splitter(spark: SparkSession, vocab: Iterable[str] | DataFrame, column
     @F.pandas_udf("array<array<string>>")
     def split_words(words: pd.Series) -> pd.Series:
         v = bc.value
-        return words.map(lambda ws: [greedy_pieces(w, v) for w in ws] if ws is not None else None)
+        return words.map(lambda ws: [greedy_pieces(w, v, max_chars=max_chars) for w in ws] if ws is not None else None)
 
     def apply(words: str | Column) -> Column:
         return split_words(F.col(words) if isinstance(words, str) else words)
 
     return apply
+
+
+def affix_vocab(words: DataFrame, column: str = "word", prefix: int = 6, suffix: int = 4) -> DataFrame:
+    """piece: the prefixes of the words up to ``prefix`` characters, and marked
+    as continuations their proper suffixes up to ``suffix``."""
+    w, n = F.col(column), F.length(column)
+    heads = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(prefix))), lambda k: F.left(w, k))
+    tails = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.least(n - 1, F.lit(suffix))),
+                                      lambda k: F.concat(F.lit(CONTINUATION), F.right(w, k))))
+    return words.where(n > 0).select(F.explode(F.concat(heads, F.coalesce(tails, F.array().cast("array<string>")))).alias(
+        "piece")).distinct()
+
+
+def split_distinct(words: DataFrame, vocab: Iterable[str] | DataFrame, column: str = "word", **limits: int) -> DataFrame:
+    """(word, n, pieces): every distinct word, its count and its pieces; counts
+    combine before the shuffle, so a common word is cut once and skews nothing."""
+    split = vocab_splitter(words.sparkSession, vocab, **limits)
+    counts = words.groupBy(F.col(column).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("word", "n", split(F.array("word"))[0].alias("pieces"))

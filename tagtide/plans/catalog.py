@@ -469,6 +469,26 @@ def majority_tagger(spark: SparkSession, sf: str) -> DataFrame:
     return score(apply_majority(model, s.where(F.col("split") == "test")), ["lang"]).select("lang", *SCORE_COLS)
 
 
+def per_target_tagger(spark: SparkSession, sf: str) -> DataFrame:
+    """One closed-form tagger per target language, each trained on that target's
+    mix, all in one pass, and scored on the whole test split."""
+    from tagtide.operators.model import KEY, apply_majority, fit_majority
+    s = with_splits(spark, sf)
+    mixes = experiment_grid(spark, sf)
+    model = fit_majority(mixes.join(s.select(*KEY, "words", "gold"), KEY), by="target_lang")
+    targets = F.explode(F.array(*[F.lit(t) for t in DEFAULT_TARGETS])).alias("target_lang")
+    test = s.where(F.col("split") == "test").select(targets, *KEY, "words", "gold")
+    return score(apply_majority(model, test, by="target_lang"), ["target_lang"]).select("target_lang", *SCORE_COLS)
+
+
+def vocab_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct word of the corpus cut by a vocabulary: the affixes of the benchmark's words."""
+    from tagtide.functions.vocab import affix_vocab, split_distinct
+    known = read_table(spark, sf, "benchmark").select(F.explode(F.split("text", "[ \n]")).alias("word"))
+    cut = split_distinct(corpus(spark, sf).select(F.explode("words").alias("word")), affix_vocab(known))
+    return cut.select("word", "n", F.size("pieces").cast("bigint").alias("n_pieces"), joined("pieces").alias("pieces"))
+
+
 def token_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Train on the balanced train mix, score on the balanced test sets."""
     from tagtide.operators.model import train_and_score
@@ -525,6 +545,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_lines": stream_lines_q,
     "stream_score": stream_score_q,
     "majority_tagger": majority_tagger,
+    "per_target_tagger": per_target_tagger,
+    "vocab_pieces": vocab_pieces,
     "token_features": token_features_q,
     "token_classifier": token_classifier,
 }

@@ -499,6 +499,48 @@ tok_m AS (
     return _score("lang", head, "tok_m")
 
 
+def _per_target() -> str:
+    # the span windows go by (doc_id, line_no): a test sentence is one per target
+    nos = "tg(target_lang, no) AS (VALUES " + ", ".join(f"({_q(t)}, {i})" for i, t in enumerate(DEFAULT_TARGETS)) + ")"
+    ctes, last = _grid().rsplit("\nSELECT ", 1)
+    head = f"""{ctes},
+mix AS (SELECT {last}),
+{nos},
+mc AS (
+  SELECT m.target_lang, lower(t.word) AS lw, t.gold, count(*) AS n
+  FROM tok t JOIN mix m USING (doc_id, line_no) GROUP BY ALL),
+mj AS (
+  SELECT target_lang, lw, gold AS tag FROM (
+    SELECT *, row_number() OVER (PARTITION BY target_lang, lw ORDER BY n DESC, {_tag_id('gold')}) AS rn FROM mc) WHERE rn = 1),
+tok_m AS (
+  SELECT t.doc_id * {len(DEFAULT_TARGETS)} + tg.no AS doc_id, tg.target_lang AS lang, t.line_no, t.pos, t.gold,
+         COALESCE(m.tag, 'O') AS pred
+  FROM tok t JOIN spl s USING (doc_id, line_no) CROSS JOIN tg
+  LEFT JOIN mj m ON tg.target_lang = m.target_lang AND lower(t.word) = m.lw WHERE s.split = 'test')"""
+    return f"SELECT lang AS target_lang, * EXCLUDE (lang) FROM ({_score('lang', head, 'tok_m')})"
+
+
+def _vocab_pieces() -> str:
+    cand = lambda k: f"CASE WHEN ws = 0 THEN substr(word, 1, {k}) ELSE '##' || substr(word, ws + 1, {k}) END"
+    best = "COALESCE(" + ", ".join(f"v{k}.piece" for k in range(6, 0, -1)) + ")"
+    joins = " ".join(f"LEFT JOIN vocab v{k} ON v{k}.piece = {cand(k)}" for k in range(6, 0, -1))
+    return f"""{BASE.replace('WITH ', 'WITH RECURSIVE ', 1)},
+known AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS w FROM benchmark) WHERE w <> ''),
+vocab AS (
+  SELECT DISTINCT left(w, k) AS piece FROM (SELECT w, unnest(range(1, least(length(w), 6) + 1)) AS k FROM known)
+  UNION SELECT DISTINCT '##' || right(w, k) FROM (SELECT w, unnest(range(1, least(length(w) - 1, 4) + 1)) AS k FROM known)),
+cnt AS (SELECT word, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY word),
+cut AS (
+  SELECT word, 0 AS ws, CAST([] AS VARCHAR[]) AS pieces, FALSE AS lost FROM cnt
+  UNION ALL
+  SELECT word, CASE WHEN p IS NULL THEN length(word) WHEN ws = 0 THEN length(p) ELSE ws + length(p) - 2 END,
+         list_append(pieces, p), p IS NULL
+  FROM (SELECT word, ws, pieces, {best} AS p FROM cut {joins} WHERE ws < length(word))),
+done AS (
+  SELECT word, CASE WHEN lost OR length(word) > 100 THEN ['[UNK]'] ELSE pieces END AS pieces FROM cut WHERE ws >= length(word))
+SELECT word, n, CAST(len(pieces) AS BIGINT) AS n_pieces, array_to_string(pieces, ' ') AS pieces FROM done JOIN cnt USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
     spl_cols = "lang, doc_id, line_no, split_ord"
     return {
@@ -578,6 +620,8 @@ GROUP BY s.lang, s.doc_id, s.line_no""",
         "stream_score": _score(),
         "token_features": _token_features(),
         "majority_tagger": _majority(),
+        "per_target_tagger": _per_target(),
+        "vocab_pieces": _vocab_pieces(),
     }
 
 

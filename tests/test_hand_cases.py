@@ -61,7 +61,11 @@ def test_islands_independent_of_split_size(spark):
         results.append(_sents(spark, [p]))
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert results[0] == results[1] == results[2]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # sentences over several batches
+    results.append(_sents(spark, [p]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert results[0] == results[1] == results[2] == results[3]
     assert len(results[0]) == 200 + 200 // 7 + 1 - 0  # one extra empty sentence per double blank
 
 
