@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtide.operators.align import align, entity_count
 from tagtide.operators.order import DEFAULT_CHUNK_DOCS, doc_chunk, spread
 from tagtide.operators.splits import assign_splits
-from tagtide.session import read_table, scratch_path
+from tagtide.session import input_mark, read_table, scratch_path
 from tagtide.sources.corpus import DEFAULT_TARGETS, tagged_sentences, write_corpus_files
 
 # Encoded, split-assigned corpora written in this application, by input
-# (data directory, targets).  Each is a Parquet table partitioned by
+# (data directory, state of its documents, targets).  Each is a Parquet table partitioned by
 # (lang, split) in the shared checkpoint folder; reusing it cuts the lineage
 # the way the original kept its loaded data sets in memory.
 _ENCODED: dict[tuple, str] = {}
@@ -27,6 +29,11 @@ _CORPUS: dict[tuple, str] = {}
 _FILES: dict[tuple, str] = {}
 
 
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    """What a materialised table is kept under: the application and the state of ``documents``."""
+    return (spark.sparkContext.applicationId, sf_dir, *input_mark(spark, os.path.join(sf_dir, "documents.parquet")))
+
+
 def derive_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged sentences of ``documents``; the scan is spread over the cluster first."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
@@ -35,7 +42,7 @@ def derive_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the materialised tagged corpus (written on first use)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _key(spark, sf_dir)
     if key not in _CORPUS:
         path = scratch_path(spark, "corpus")
         derive_corpus(spark, sf_dir).write.mode("overwrite").parquet(path)
@@ -55,7 +62,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_files_root(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the corpus as IOB2 text files (written on first use)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _key(spark, sf_dir)
     if key not in _FILES:
         path = scratch_path(spark, "iob-files")
         write_corpus_files(corpus(spark, sf_dir), path)
@@ -81,7 +88,7 @@ def encode_corpus(spark: SparkSession, sf_dir: str, targets=DEFAULT_TARGETS,
 def with_splits(spark: SparkSession, sf_dir: str, targets=DEFAULT_TARGETS,
                 chunk_docs: int = DEFAULT_CHUNK_DOCS) -> DataFrame:
     """The encoded corpus with splits, written once per application and input."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(targets), chunk_docs)
+    key = (*_key(spark, sf_dir), tuple(targets), chunk_docs)
     if key not in _ENCODED:
         _ENCODED[key] = encode_corpus(spark, sf_dir, targets, chunk_docs)
     return spark.read.parquet(_ENCODED[key])

@@ -105,3 +105,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists, in whatever file system its path names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def input_mark(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(modification time, bytes, files) of a file or folder: another mark means changed data."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(p)
+    return fs.getFileStatus(p).getModificationTime(), summary.getLength(), summary.getFileCount()

@@ -168,3 +168,15 @@ def test_majority_tagger(spark):
     test = spark.createDataFrame([("fr", 3, 0, ["RAN", "new"], ["O", "B-PER"])], train.schema)
     r = apply_majority(model, test).first()
     assert (r.gold, r.pred) == (["O", "B-PER"], ["B-LOC", "O"])
+
+
+def test_changed_documents_are_read_anew(spark, tmp_path):
+    from tagtide.plans.base import corpus
+    import shutil
+    shutil.copy(f"{SMALL}/documents.parquet", tmp_path / "documents.parquet")
+    sf = str(tmp_path)
+    first = corpus(spark, sf)
+    assert corpus(spark, sf).inputFiles() == first.inputFiles()
+    kept = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 50").toPandas()
+    kept.to_parquet(tmp_path / "documents.parquet")
+    assert corpus(spark, sf).select("doc_id").distinct().count() < first.select("doc_id").distinct().count()
