@@ -3,8 +3,9 @@
 A small tree is built from the tags (forgiving unclosed and stray ones).
 Paragraphs pass points, for their length and commas, to their ancestors; an
 element's points are discounted by its link density.  The best container is
-kept with its siblings that score well or read as prose; navigation, forms,
-adverts, comments and other furniture are left out.
+kept with the rest of its article, or, on pages without one, with the blocks
+around it that score well or read as prose; navigation, forms, adverts,
+comments and other furniture are left out.
 """
 
 from __future__ import annotations
@@ -42,16 +43,22 @@ FURNITURE = re.compile(
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: names that make even an article furniture
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus|repl(?:y|ies)|related|teaser)(?:$|[\s_-])", re.I)
+#: whole names of comment threads and consent boxes: furniture however much text they hold
+THREAD = re.compile(
+    r"(?:comments?|disqus|repl(?:y|ies)|respond)(?:[_-]?(?:area|list|thread|section|box|container|wrapper|block|body|content|form))*|"
+    r"cookies?[_-]?(?:notice|banner|consent|bar|popup|modal|overlay)", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "score", "length", "linked", "core")
+    __slots__ = ("tag", "attrs", "parent", "kids", "score", "length", "linked", "core", "text", "link_text")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None") -> None:
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
         self.score, self.length, self.linked = 0.0, 0, 0
         self.core = False  # holds an article or a main part
+        self.text, self.link_text = 0, 0  # characters before furniture goes, and those inside links
 
 
 class Tree(HTMLParser):
@@ -98,11 +105,35 @@ class Tree(HTMLParser):
         self.at.kids.append(data)
 
 
-def _names(node: Node) -> str:
-    return " ".join(str(node.attrs.get(k) or "") for k in ("class", "id", "role"))
+def _names(node: Node, *kinds: str) -> str:
+    return " ".join(str(node.attrs.get(k) or "") for k in kinds)
 
 
-def _furniture(node: Node) -> bool:
+def _named_furniture(node: Node, inside: bool) -> bool:
+    """Whether the names of an element make it furniture.
+
+    Inside an article a name is only a hint: it counts if most of the text is
+    links, or there is little text.  Ids are often slugs of headings
+    (``related-work``), so they never count for a heading, and for a part that
+    holds prose only if they name a comment thread."""
+    if FURNITURE.search(_names(node, "role")):
+        return True
+    kinds = _names(node, "class")
+    by_class = bool(FURNITURE.search(kinds))
+    slug = str(node.attrs.get("id") or "").strip()
+    if not by_class and not (slug and FURNITURE.search(slug)):
+        return False
+    plain = node.text - node.link_text
+    if node.tag in HEADINGS:  # always of little text
+        return by_class and (not inside or node.link_text > plain)
+    if any(THREAD.fullmatch(n) for n in [*kinds.split(), slug]):
+        return True
+    if by_class:
+        return not (inside and plain >= 100 and 4 * node.link_text < node.text)
+    return not ((inside or node.tag == "section") and plain >= 25 and 3 * node.link_text < node.text)
+
+
+def _furniture(node: Node, inside: bool = False) -> bool:
     if "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
         return True
     if HIDDEN_STYLE.search(str(node.attrs.get("style") or "")):
@@ -111,9 +142,8 @@ def _furniture(node: Node) -> bool:
         return False
     if node.tag in SKIP:
         return True
-    names = _names(node)
     if node.tag in ("article", "main"):
-        return bool(names.strip() and ASIDE.search(names))
+        return bool(ASIDE.search(_names(node, "class", "id", "role")))
     if node.tag in ("html", "body"):
         return False
     if node.tag == "header":  # a page's header; an article's own holds its headline
@@ -122,7 +152,7 @@ def _furniture(node: Node) -> bool:
             up = up.parent
         if up is None:
             return True
-    return bool(names.strip() and FURNITURE.search(names)) and not node.core
+    return not node.core and _named_furniture(node, inside)
 
 
 def _walk(root: Node) -> list[Node]:
@@ -135,12 +165,19 @@ def _walk(root: Node) -> list[Node]:
     for node in reversed(every):  # children first
         node.core = any(not isinstance(k, str) and (k.core or k.tag in ("article", "main") and not _furniture(k))
                         for k in node.kids) and node.tag not in ("nav", "aside", "footer", "dialog")
-    out, todo = [], [root]
+        if node.tag not in SKIP or node.core:
+            for k in node.kids:
+                node.text += len(k.strip()) if isinstance(k, str) else k.text
+                node.link_text += 0 if isinstance(k, str) else k.link_text
+            if node.tag == "a":
+                node.link_text = node.text
+    out, todo = [], [(root, False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         out.append(node)
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _furniture(k)]
-        todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
+        inside = inside or node.tag == "article" or node.tag == "main" and not node.core
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _furniture(k, inside)]
+        todo += [(k, inside) for k in reversed(node.kids) if not isinstance(k, str)]
     return out
 
 

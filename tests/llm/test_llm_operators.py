@@ -197,6 +197,24 @@ def test_html_frames_and_furniture(html, want):
     assert html_extract.extract(html) == want
 
 
+@pytest.mark.parametrize("name", ["social-impact", "related-work", "side-effects", "Search_algorithms", "recommendations",
+                                  "share", "notice"])
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_html_slug_ids_are_no_furniture(tag, name):
+    html = f"<article><h1>Head</h1><p>{LONG}</p><{tag} id='{name}'><h2 id='{name}'>Part</h2><p>{LONG} {LONG}</p></{tag}></article>"
+    assert html_extract.extract(html) == f"Head\n\n{LONG}\n\nPart\n\n{LONG} {LONG}"
+    prose = f"<article><p>{LONG}</p><{tag} class='{name}'><p>{LONG} {LONG}</p></{tag}></article>"
+    assert html_extract.extract(prose) == f"{LONG}\n\n{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("part", [
+    "<div class=share-buttons><span>Share</span></div>", f"<div id=related-posts><a href=x>{LONG}</a> {LONG[:30]}</div>",
+    f"<div class='related'><a href=x>{LONG}</a><a href=y>{LONG}</a>{LONG}</div>", f"<section id=comments><p>{LONG} {LONG}</section>",
+    f"<div class=comments-area><p>{LONG} {LONG}</div>", f"<div role=complementary><p>{LONG} {LONG}</div>"])
+def test_html_named_furniture_inside_an_article(part):
+    assert html_extract.extract(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}"
+
+
 def test_html_deep_and_long_pages():
     assert html_extract.extract("<div>" * 20_000 + LONG) == LONG
     assert html_extract.extract("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>").count(LONG) == 3000
