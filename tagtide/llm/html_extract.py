@@ -48,6 +48,8 @@ THREAD = re.compile(
     r"(?:comments?|disqus|repl(?:y|ies)|respond)(?:[_-]?(?:area|list|thread|section|box|container|wrapper|block|body|content|form))*|"
     r"cookies?[_-]?(?:notice|banner|consent|bar|popup|modal|overlay)", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: what stays between two parts of an article
+BETWEEN = HEADINGS | frozenset("ul ol dl blockquote pre table figure".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -257,22 +259,83 @@ def extract(html: str | None) -> str:
         _blocks(tree.root, out)
         return "\n\n".join(out)
     best = max(scored, key=lambda n: n.score)  # the outermost of equals
-    if best.parent is None:
-        _blocks(best, out)
-        return "\n\n".join(out)
-    least = max(10.0, 0.2 * best.score)
-    for kid in best.parent.kids:
-        if isinstance(kid, str):
-            continue
-        density = kid.linked / kid.length if kid.length else 0.0
-        if kid is best or kid.score >= least or kid.tag == "p" and (kid.length > 80 and density < 0.25 or
-                                                                   0 < kid.length <= 80 and density == 0):
-            _blocks(kid, out)
-        elif kid.tag == "h1" or kid.tag == "header":
-            _blocks(kid, out)  # the headline beside the container
+    _blocks(_lift(best), out)
     return "\n\n".join(out)
 
 
+def _density(node: Node) -> float:
+    return node.linked / node.length if node.length else 0.0
+
+
+def _home(node: Node) -> Node | None:
+    """The article that an element stands in (or is), or else the main part that holds no article."""
+    up, main = node, None
+    while up is not None:
+        if up.tag == "article":
+            return up
+        if up.tag == "main" and not up.core and main is None:
+            main = up
+        up = up.parent
+    return main
+
+
+def _has_h1(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if node.tag == "h1":
+            return True
+        todo += [k for k in node.kids if not isinstance(k, str)]
+    return False
+
+
+def _reads_on(kid: Node, least: float, near: bool) -> bool:
+    """Whether a block outside the article (or beside the container, where there is none) belongs to it."""
+    density, plain = _density(kid), kid.length - kid.linked
+    if kid.score >= least and (density < 0.5 or kid.score >= 10):
+        return True
+    if kid.tag == "p":
+        return kid.length > 80 and density < 0.25 or 0 < kid.length <= 80 and density == 0
+    return near and kid.score > 0 and plain >= 80 and density < 0.25
+
+
+def _lift(best: Node) -> Node:
+    """The root, with all taken out around the container but its article's text.
+
+    Inside an article (or a main part) only parts made of links go.  Around it,
+    and around a container without one, blocks stay that score well or are
+    prose, the headline, and what stands between them: headings, lists, quotes,
+    code and tables of low link density."""
+    home, node, least, headline = _home(best), best, 0.2 * best.score, None
+    inside = home is not None and node is not home
+    while node.parent is not None:
+        up, kids = node.parent, node.parent.kids
+        if inside:
+            up.kids = [k for k in kids if isinstance(k, str) or k is node or k.tag in HEADINGS or
+                       _density(k) < 0.5 or k.score >= least]
+            node, inside = up, up is not home
+            continue
+        keep = [not isinstance(k, str) and (k is node or _reads_on(k, least, home is None)) for k in kids]
+        at = [i for i, kept in enumerate(keep) if kept]
+        first, last = at[0], at[-1]
+        while first and (isinstance(kids[first - 1], str) and not kids[first - 1].strip() or
+                         not isinstance(kids[first - 1], str) and kids[first - 1].tag in HEADINGS):
+            first -= 1  # headings right above
+        for i, k in enumerate(kids):
+            if isinstance(k, str) or keep[i]:
+                continue
+            if first <= i <= last and k.tag in BETWEEN:
+                keep[i] = k.tag in HEADINGS or _density(k) < 0.33
+            elif k.tag in ("h1", "header"):  # the headline beside the container
+                if headline is None:
+                    headline = _has_h1(node)
+                keep[i] = node is best or node is home or not headline
+                headline = headline or keep[i]
+        up.kids = [k for k, kept in zip(kids, keep) if kept]
+        node = up
+    return node
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``; repeated rows
     get a row each, null ids and urls stay null, other columns are not read."""

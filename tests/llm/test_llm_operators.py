@@ -215,6 +215,24 @@ def test_html_named_furniture_inside_an_article(part):
     assert html_extract.extract(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}"
 
 
+@pytest.mark.parametrize("top", ["article", "main", "div"])
+def test_html_every_part_of_a_page_in_sections(top):
+    five = [(f"Part {i}, with commas, and more, " + LONG * 3)[:300] for i in range(5)]
+    first, short = "".join(f"<p>{t}</p>" for t in five), (LONG * 3)[:200]
+    quote = "<h3>Sub</h3><ul><li>Item</li></ul><blockquote>Quote</blockquote><pre>code</pre><table><tr><td>cell</table>"
+    html = (f"<body><nav><a href=x>{LONG}</a></nav><{top}><h1>Head</h1><section>{first}</section><h2>Two</h2>{quote}"
+            f"<section><p>{short}</p></section><div><a href=x>{LONG}</a></div></{top}><div><a href=y>{LONG}</a></div></body>")
+    assert html_extract.extract(html) == "\n\n".join(["Head", *five, "Two", "Sub", "Item", "Quote", "code", "cell", short])
+
+
+def test_html_parts_wrapped_one_level_further_out():
+    first = "".join(f"<p>{LONG} {LONG} {k}</p>" for k in range(5))
+    for inner in (f"<div><div>{first}</div></div><h2>Two</h2><div><p>{LONG} {LONG}</p><p>{LONG}</p></div>",
+                  f"<div><div><div>{first}</div></div></div><div><div><p>{LONG} {LONG}</p><p>{LONG}</p></div></div>"):
+        got = html_extract.extract(f"<body><h1>Head</h1>{inner}<ul><li><a href=x>{LONG}</a></ul></body>").split("\n\n")
+        assert got == ["Head", *[f"{LONG} {LONG} {k}" for k in range(5)], *(["Two"] if "Two" in inner else []), f"{LONG} {LONG}", LONG]
+
+
 def test_html_deep_and_long_pages():
     assert html_extract.extract("<div>" * 20_000 + LONG) == LONG
     assert html_extract.extract("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>").count(LONG) == 3000
