@@ -102,6 +102,35 @@ def test_decontamination_tolerates_substitutions_and_takes_both_join_paths(spark
     assert sorted(left) == [3, 4, 5, 7, 8]
 
 
+def test_masks_reach_every_pattern_that_is_accepted():
+    from itertools import combinations
+    for size in range(1, decontam.WINDOW + 1):
+        masks = decontam.MASKS if size == decontam.WINDOW else decontam.SHORT_MASKS[size]
+        for gone in combinations(range(size), decontam.allowed(size)):
+            assert any(all(at + o not in gone for o in m) for m in masks for at in range(size - max(m))), (size, gone)
+    assert [decontam.allowed(n) for n in (1, 6, 7, 8, 9, 12, 13)] == [0, 0, 1, 1, 2, 2, 3]
+
+
+def test_decontamination_of_isolated_windows_short_items_and_unspaced_scripts(spark, words):
+    def with_gaps(text, gaps):
+        return " ".join("zzz" if k in gaps else w for k, w in enumerate(text.split()))
+
+    item, nine, seven, four = words(13, 21), words(9, 22), words(7, 23), "Which colour is chalk?"
+    chinese, thai = "中国的首都是哪一座城市", "เมืองหลวงของประเทศไทย"
+    around = lambda t: words(20, 31) + " " + t + " " + words(20, 32)
+    d = docs(spark, [(1, around(with_gaps(item, (3, 6, 7)))), (2, around(with_gaps(nine, (2, 5)))),
+                     (3, around(with_gaps(nine, (2, 4, 5)))), (4, around(with_gaps(seven, (3,)))),
+                     (5, around(with_gaps(seven, (0, 6)))), (6, around(four.lower())), (7, around("which colour has chalk")),
+                     (8, "我想知道" + chinese + "吗"), (9, "ถามว่า" + thai + "คืออะไร"), (10, around(with_gaps(item, (1, 3, 6, 7))))])
+    t = spark.createDataFrame([(20, item), (21, nine), (22, seven), (23, four), (24, chinese), (25, thai)],
+                              "item_id bigint, text string")
+    want = {(1, 20), (2, 21), (4, 22), (6, 23), (8, 24), (9, 25)}
+    for limit in (500_000, 0):
+        got = decontam.contaminated(d, t, broadcast_seeds=limit).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert {r["doc_id"] for r in decontam.drop_contaminated(d, t).collect()} == {3, 5, 7, 10}
+
+
 # --- op2 -----------------------------------------------------------------
 
 def plain_fingerprint(text):
