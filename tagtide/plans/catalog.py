@@ -25,8 +25,8 @@ from tagtide.operators.splits import quotas, smallest_sets
 from tagtide.plans.base import (LINE_CHUNK, ORDER, corpus, corpus_files_root, corpus_path, joined, sizes,
                                 split_chunk, with_splits)
 from tagtide.session import materialize, read_table, scratch_path, small_table
-from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, corpus_files, iob_lines, load_corpus, of_languages,
-                                    registry, tagged_tokens)
+from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, corpus_files, iob_lines, language_counts, load_corpus,
+                                    of_languages, registry, tagged_tokens)
 from tagtide.sources.iob import read_predictions, sentence_block, write_predictions
 from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
 from tagtide.streaming.status import (EVENT_TERMINAL_STATES, all_terminal, first_state, job_events,
@@ -117,6 +117,11 @@ def corpus_failed_files(spark: SparkSession, sf: str) -> DataFrame:
         "path")
 
 
+def corpus_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents a language, and whether the registry has it; the corpus raises on one that it has not."""
+    return language_counts(read_table(spark, sf, "documents"))
+
+
 # ---- tags, pieces, alignment -------------------------------------------------
 
 def tag_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
@@ -506,6 +511,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iob_sentences_hash_anywhere": iob_sentences_hash_anywhere,
     "iob_flat_sequence": iob_flat_sequence,
     "corpus_failed_files": corpus_failed_files,
+    "corpus_languages": corpus_languages,
     "tag_encode_decode": tag_encode_decode,
     "align_first_piece": align_first_piece,
     "truncation_loss": truncation_loss,

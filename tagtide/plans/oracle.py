@@ -618,6 +618,9 @@ GROUP BY s.lang, s.doc_id, s.line_no""",
         "stream_watch": _watch(),
         "stream_lines": LINES,
         "stream_score": _score(),
+        "corpus_languages": f"""WITH {REG}
+SELECT lang, COALESCE(lang IN (SELECT lang FROM reg), FALSE) AS registered, COUNT(*) AS n_docs
+FROM documents GROUP BY lang""",
         "token_features": _token_features(),
         "majority_tagger": _majority(),
         "per_target_tagger": _per_target(),

@@ -84,14 +84,28 @@ def _tagger(types: str) -> str:
             f"ELSE concat('B-', t) END)")
 
 
+def _registered() -> Column:
+    return F.coalesce(F.col("lang").isin([code for code, *_ in REGISTRY]), F.lit(False))
+
+
+def language_counts(documents: DataFrame) -> DataFrame:
+    """(lang, registered, n_docs) of every language of ``documents``, null too."""
+    return (documents.groupBy("lang").agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+            .select("lang", _registered().alias("registered"), "n_docs"))
+
+
 def tagged_sentences(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """sentence(lang, part, part_rank, doc_id, line_no, words, gold, pred).
 
     One row per line of every document; ``(doc_id, line_no)`` is the file order.
+    A document whose language (or null) is not registered has no file layout:
+    it raises, and ``language_counts`` lists all there are.
     """
     docs = documents if documents is not None else read_table(spark, sf_dir, "documents")
-    # only registered languages have a file layout
-    docs = docs.where(F.col("lang").isin([code for code, *_ in REGISTRY]))
+    # in a filter, which column pruning cannot take out of the plan
+    docs = docs.where(F.when(_registered(), True).otherwise(F.raise_error(F.concat(
+        F.lit("language not in the registry: "), F.coalesce("lang", F.lit("null")), F.lit(", doc_id "),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("boolean")))
     lines = docs.select(
         "lang", "doc_id",
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

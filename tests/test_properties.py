@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tagtide.operators.metrics import with_span_counts
 from tagtide.plans import base
 from tagtide.plans.catalog import QUERIES, _split_samples
-from tagtide.sources.corpus import tagged_sentences
+from tagtide.sources.corpus import language_counts, tagged_sentences
 
 from conftest import MEDIUM, SMALL
 
@@ -180,3 +180,12 @@ def test_changed_documents_are_read_anew(spark, tmp_path):
     kept = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 50").toPandas()
     kept.to_parquet(tmp_path / "documents.parquet")
     assert corpus(spark, sf).select("doc_id").distinct().count() < first.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("lang", ["it", None])
+def test_unregistered_languages_raise_and_are_reported(spark, lang):
+    docs = spark.createDataFrame([(1, "en", "One line"), (2, lang, "Una riga")], "doc_id bigint, lang string, text string")
+    assert {tuple(r) for r in language_counts(docs).collect()} == {("en", True, 1), (lang, False, 1)}
+    for read in (lambda s: s.count(), lambda s: s.select("doc_id").collect()):
+        with pytest.raises(Exception, match="not in the registry: " + (lang or "null")):
+            read(tagged_sentences(spark, SMALL, documents=docs))
