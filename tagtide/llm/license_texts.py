@@ -18,8 +18,38 @@ TEXTS = {
     "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO.",
 }
 
+#: digests of the canonical forms (licenses.canonical) of longer texts: entire, and up to the end of
+#: the terms with and without the line that says so
+DIGESTS = {
+    "Apache-2.0": ("04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543",
+        "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40",
+        "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f"),
+    "Artistic-1.0-Perl": ("08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.2-only": ("15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",),
+    "GFDL-1.3-only": ("2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",),
+    "GPL-1.0-only": ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+        "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    "GPL-2.0-only": ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
+    "GPL-3.0-only": ("eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+        "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    "LGPL-2.0-only": ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    "LGPL-2.1-only": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    "LGPL-3.0-only": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",),
+    "MPL-2.0": ("6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",),
+}
+
 #: one-line notices
-NOTICES = {
+_SAID = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.",
             "This project is licensed under the MIT License."),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.",
@@ -31,3 +61,34 @@ NOTICES = {
                      "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."),
 }
+
+#: what a licence is called in a notice
+_NAMES = {
+    "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "ISC": ("ISC License",),
+    "Apache-2.0": ("Apache License 2.0",),
+    "GPL-2.0-only": ("GNU General Public License, version 2",), "GPL-3.0-only": ("GNU General Public License, version 3",),
+    "LGPL-2.1-only": ("GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0-only": ("GNU Lesser General Public License, version 3",),
+    "MPL-1.1": ("Mozilla Public License, version 1.1",),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"),
+}
+_MPL_NOTICE = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+               "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.")
+
+#: identifiers whose SPDX line is known besides those of the texts, digests and notices
+_SPDX_ONLY = ("AGPL-3.0-only", "AGPL-3.0-or-later", "BSL-1.0", "CC-BY-SA-4.0", "EPL-2.0", "Unlicense")
+
+
+def _notices() -> dict[str, tuple[str, ...]]:
+    out = {k: list(v) for k, v in _SAID.items()}
+    for k, names in _NAMES.items():
+        out.setdefault(k, []).extend(f"{said} the {name}." for name in names for said in (
+            "Licensed under", "Released under", "This project is licensed under", "This work is licensed under"))
+    out["MPL-2.0"].append(_MPL_NOTICE)
+    ids = {*TEXTS, *DIGESTS, *out, *_SPDX_ONLY}
+    for k in sorted(ids | {k.removesuffix("-only") + "-or-later" for k in ids if k.endswith("-only")}):
+        out.setdefault(k, []).append(f"SPDX-License-Identifier: {k}")
+    return {k: tuple(dict.fromkeys(v)) for k, v in out.items()}
+
+
+NOTICES = _notices()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtide.llm.common import pick
-from tagtide.llm.license_texts import NOTICES, TEXTS
+from tagtide.llm.license_texts import DIGESTS, NOTICES, TEXTS
 
 #: a line that states a copyright (not one that speaks of a copyright notice)
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}©\n]*(portions )?(copyright|©|\(c\))[ \t:]*(\(c\)|©|by |[0-9<\[{])[^\n]*$"
@@ -45,6 +45,11 @@ def known_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "license_id string, text string")
 
 
+def known_digests(spark: SparkSession) -> DataFrame:
+    """(license_id, digest) of the longer texts, of which the library has the digests alone."""
+    return spark.createDataFrame([(k, d) for k, v in DIGESTS.items() for d in v], "license_id string, digest string")
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, license_id, notices) for every row of ``docs``.
 
@@ -56,9 +61,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     not read.  ``known`` has columns license_id and text; beyond
     MAX_KNOWN texts they are joined without a broadcast."""
     spark = docs.sparkSession
-    known = known_texts(spark) if known is None else known
-    known = known.where(F.length(canonical(F.col("text"))) > 0).groupBy(digest(F.col("text")).alias("digest")).agg(
-        F.min("license_id").alias("license_id"))
+    texts = known_texts(spark) if known is None else known
+    rows = texts.where(F.length(canonical(F.col("text"))) > 0).select("license_id", digest(F.col("text")).alias("digest"))
+    rows = rows.unionByName(known_digests(spark)) if known is None else rows
+    known = rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     if known.count() <= MAX_KNOWN:
         known = F.broadcast(known)
     rows = pick(docs, id=id_col, text=text_col).select(

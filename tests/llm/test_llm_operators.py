@@ -354,6 +354,28 @@ def test_license_variants(spark):
                           (5, None, ""), (6, None, ""), (None, "MIT", "")], key=str)
 
 
+def test_entire_texts_by_digest_and_notice_lines_of_every_known_id(spark):
+    from pathlib import Path
+    files = {"Apache-2.0": "Apache-2.0", "GPL-1.0-only": "GPL-1", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3",
+             "LGPL-2.0-only": "LGPL-2", "LGPL-2.1-only": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3", "MPL-1.1": "MPL-1.1",
+             "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2-only": "GFDL-1.2", "GFDL-1.3-only": "GFDL-1.3",
+             "Artistic-1.0-Perl": "Artistic"}
+    assert set(files) == set(licenses.DIGESTS)
+    folder = Path("/usr/share/common-licenses")
+    here = {k: (folder / f).read_text() for k, f in files.items() if (folder / f).exists()}
+    end = "END OF TERMS AND CONDITIONS"
+    whole = [(k, t.upper()) for k, t in here.items()]
+    whole += [(k, t[:t.index(end) + n]) for k, t in here.items() if end in t for n in (0, len(end))]
+    lines = [*{*licenses.TEXTS, *licenses.DIGESTS, "GPL-2.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-only", "CC-BY-4.0"}]
+    rows = whole + [(k, f"prose\n# SPDX-License-Identifier: {k}\nmore") for k in lines]
+    rows += [("BSD-3-Clause", "prose\nLicensed under the BSD 3-Clause License."),
+             ("MPL-2.0", "prose\nReleased under the Mozilla Public License, v. 2.0"),
+             ("LGPL-3.0-only", "prose\nThis project is licensed under the GNU Lesser General Public License, version 3.")]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    for i, (k, _) in enumerate(rows):
+        assert got[i]["license_id" if i < len(whole) else "notices"] == k
+
+
 # --- op6 -----------------------------------------------------------------
 
 def test_line_dedup_hand_case(spark):
