@@ -189,3 +189,14 @@ def test_unregistered_languages_raise_and_are_reported(spark, lang):
     for read in (lambda s: s.count(), lambda s: s.select("doc_id").collect()):
         with pytest.raises(Exception, match="not in the registry: " + (lang or "null")):
             read(tagged_sentences(spark, SMALL, documents=docs))
+
+
+def test_held_out_loss_is_the_mean_over_the_test_tokens(spark):
+    from math import log
+    from pyspark.ml.linalg import Vectors
+    from tagtide.operators.model import held_out_loss, train_and_score
+    p = spark.createDataFrame([(Vectors.dense([0.5, 0.5]), 0.0), (Vectors.dense([0.2, 0.8]), 1.0)], ["probability", "label"])
+    assert abs(held_out_loss(p).first().test_loss - (-log(0.5) - log(0.8)) / 2) < 1e-12
+    s = tagged_sentences(spark, SMALL).where("doc_id < 12")
+    r = train_and_score(s.where("doc_id < 8"), s.where("doc_id >= 8"), max_iter=2).first()
+    assert r.test_loss > 0
