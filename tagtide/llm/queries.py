@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtide.llm import (decontam, embed_dedup, html_extract, langid, licenses, line_dedup, packing, simhash, toxicity,
-                         warc)
+from tagtide.llm import (decontam, embed_dedup, html_extract, langid, licenses, line_dedup, packing, piecewise,
+                         ranked_search, simhash, spelling, toxicity, warc)
 from tagtide.llm.common import read_table
 from tagtide.llm.oracle import ORACLE_SQL
 
@@ -68,6 +68,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.edit_trial(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html_extraction, op4_toxicity, op5_license_scan,
-                            op6_line_dedup, op7_packing, op8_embedding_dedup, op9_language_id, op10_warc)}
+                            op6_line_dedup, op7_packing, op8_embedding_dedup, op9_language_id, op10_warc,
+                            op11_spelling_variants, op12_document_fingerprints, op13_ranked_search)}
