@@ -173,7 +173,7 @@ def test_majority_tagger(spark):
 def test_changed_documents_are_read_anew(spark, tmp_path):
     from tagtide.plans.base import corpus
     import shutil
-    shutil.copy(f"{SMALL}/documents.parquet", tmp_path / "documents.parquet")
+    shutil.copyfile(f"{SMALL}/documents.parquet", tmp_path / "documents.parquet")
     sf = str(tmp_path)
     first = corpus(spark, sf)
     assert corpus(spark, sf).inputFiles() == first.inputFiles()
