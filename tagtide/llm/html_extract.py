@@ -50,6 +50,10 @@ THREAD = re.compile(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: what stays between two parts of an article
 BETWEEN = HEADINGS | frozenset("ul ol dl blockquote pre table figure".split())
+#: headings that lead to other pages
+ELSEWHERE = re.compile(r"\b(?:more|latest|popular|trending|next|previous|read|see also)\b", re.I)
+#: how a sentence ends
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u201d\u2019\u00bb]*$")
 _SPACE = re.compile(r"\s+")
 
 
@@ -64,23 +68,40 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Elements and strings under ``root``; nothing is raised for bad markup."""
+    """Elements and strings under ``root``; nothing is raised for bad markup.
+
+    The open elements form a stack, and the places of every name in it are
+    kept, so that an end tag finds its element without walking up the tree."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
+        self.stack: list[Node] = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def _last(self, tags: set | frozenset) -> int:
+        """Place of the innermost open element with one of the names, or 0."""
+        places = self.places
+        return max((places[t][-1] for t in (tags & places.keys()) if places[t]), default=0)
+
+    def _close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+        self.at = self.stack[-1]
 
     def _pop_to(self, tags: set | frozenset, stop: set | frozenset) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in stop:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
+        found = self._last(tags)
+        if found and found > self._last(stop):
+            self._close(found)
 
     def _end_head(self) -> None:
         if self.at.tag == "head":
-            self.at = self.at.parent
+            self._close(len(self.stack) - 1)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` opens a comment up to the next ``>``, whatever stands in it."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in IN_HEAD:
@@ -93,13 +114,17 @@ class Tree(HTMLParser):
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.places.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # outside foreign elements the slash means nothing
 
     def handle_endtag(self, tag: str) -> None:
-        stop = frozenset() if tag in BLOCK else BLOCK  # an inline end tag ends nothing outside its block
-        self._pop_to({tag}, stop)
+        if self.at.tag == tag and len(self.stack) > 1:
+            self._close(len(self.stack) - 1)
+        elif self.places.get(tag):
+            self._pop_to({tag}, frozenset() if tag in BLOCK else BLOCK)  # an inline one ends nothing outside its block
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -135,7 +160,8 @@ def _named_furniture(node: Node, inside: bool) -> bool:
     return not ((inside or node.tag == "section") and plain >= 25 and 3 * node.link_text < node.text)
 
 
-def _furniture(node: Node, inside: bool = False) -> bool:
+def _furniture(node: Node, inside: bool = False, homed: bool = True) -> bool:
+    """``inside`` an article (or a main part without one); ``homed``: any article or main part stands around it."""
     if "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
         return True
     if HIDDEN_STYLE.search(str(node.attrs.get("style") or "")):
@@ -148,12 +174,8 @@ def _furniture(node: Node, inside: bool = False) -> bool:
         return bool(ASIDE.search(_names(node, "class", "id", "role")))
     if node.tag in ("html", "body"):
         return False
-    if node.tag == "header":  # a page's header; an article's own holds its headline
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+    if node.tag == "header" and not homed:  # a page's header; an article's own holds its headline
+        return True
     return not node.core and _named_furniture(node, inside)
 
 
@@ -173,13 +195,14 @@ def _walk(root: Node) -> list[Node]:
                 node.link_text += 0 if isinstance(k, str) else k.link_text
             if node.tag == "a":
                 node.link_text = node.text
-    out, todo = [], [(root, False)]
+    out, todo = [], [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, homed = todo.pop()
         out.append(node)
         inside = inside or node.tag == "article" or node.tag == "main" and not node.core
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _furniture(k, inside)]
-        todo += [(k, inside) for k in reversed(node.kids) if not isinstance(k, str)]
+        homed = homed or node.tag in ("article", "main")
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _furniture(k, inside, homed)]
+        todo += [(k, inside, homed) for k in reversed(node.kids) if not isinstance(k, str)]
     return out
 
 
@@ -196,13 +219,11 @@ def _score(nodes: list[Node]) -> None:
                 linked += k.length if k.tag == "a" else k.linked
         node.linked = linked
         own[id(node)] = []
-    for node in nodes:  # a string counts for the nearest block
-        for k in node.kids:
-            if isinstance(k, str) and k.strip():
-                block = node
-                while block.tag not in BLOCK and block.parent is not None:
-                    block = block.parent
-                own[id(block)].append(k)
+    nearest: dict[int, Node] = {}
+    for node in nodes:  # parents first; a string counts for the nearest block
+        up = node.parent
+        block = nearest[id(node)] = node if node.tag in BLOCK or up is None else nearest[id(up)]
+        own[id(block)] += [k for k in node.kids if isinstance(k, str) and k.strip()]
     for node in nodes:
         text = _SPACE.sub(" ", "".join(own[id(node)])).strip()
         if len(text) < 25 or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -299,10 +320,37 @@ def _reads_on(kid: Node, least: float, near: bool) -> bool:
     return near and kid.score > 0 and plain >= 80 and density < 0.25
 
 
+def _text(node: Node) -> str:
+    out: list[str] = []
+    _blocks(node, out)
+    return " ".join(out)
+
+
+def _headed(node: Node, before: Node | str | None) -> bool:
+    """Whether a part made of links stands under a heading, its own first or
+    the one before it, that does not name furniture."""
+    todo, heading = [node], None
+    while todo and heading is None:
+        k = todo.pop()
+        heading = k if k.tag in HEADINGS else None
+        todo += [x for x in reversed(k.kids) if not isinstance(x, str)]
+    if heading is None and isinstance(before, Node) and before.tag in HEADINGS:
+        heading = before
+    named = _text(heading) if heading is not None else ""
+    return bool(named) and not FURNITURE.search(named) and not ELSEWHERE.search(named)
+
+
+def _closing(kid: Node) -> bool:
+    """Whether a short block without links reads as a sentence."""
+    return kid.tag in BLOCK and not kid.linked and bool(SENTENCE_END.search(_text(kid)))
+
+
 def _lift(best: Node) -> Node:
     """The root, with all taken out around the container but its article's text.
 
-    Inside an article (or a main part) only parts made of links go.  Around it,
+    Inside an article (or a main part) only parts made of links go, those under
+    a heading of the article excepted.  Sentences right after a container
+    without an article stay.  Around it,
     and around a container without one, blocks stay that score well or are
     prose, the headline, and what stands between them: headings, lists, quotes,
     code and tables of low link density."""
@@ -311,11 +359,19 @@ def _lift(best: Node) -> Node:
     while node.parent is not None:
         up, kids = node.parent, node.parent.kids
         if inside:
+            parts = [k for k in kids if not isinstance(k, str) or k.strip()]
+            before = {id(k): p for p, k in zip(parts, parts[1:])}
             up.kids = [k for k in kids if isinstance(k, str) or k is node or k.tag in HEADINGS or
-                       _density(k) < 0.5 or k.score >= least]
+                       _density(k) < 0.5 or k.score >= least or _headed(k, before.get(id(k)))]
             node, inside = up, up is not home
             continue
         keep = [not isinstance(k, str) and (k is node or _reads_on(k, least, home is None)) for k in kids]
+        if home is None and node is best:
+            for i in range(next(i for i, k in enumerate(kids) if k is node) + 1, len(kids)):
+                if not isinstance(kids[i], str) and not keep[i]:
+                    keep[i] = _closing(kids[i])
+                    if not keep[i]:
+                        break
         at = [i for i, kept in enumerate(keep) if kept]
         first, last = at[0], at[-1]
         while first and (isinstance(kids[first - 1], str) and not kids[first - 1].strip() or
