@@ -89,40 +89,3 @@ def collate(rows: DataFrame, batch: str, columns: Sequence[str], size: Column) -
     df = rows.withColumn("_size", size).withColumn("width", F.max("_size").over(Window.partitionBy(batch)))
     cut = {c: F.slice(c, F.lit(1), F.col("width").cast("int")) for c in columns}
     return df.withColumns({**cut, "n_pad": F.col("width") - F.col("_size")}).drop("_size")
-
-
-def flat_chunks(tokens: DataFrame, file_cols: Sequence[str], order: Sequence[str],
-                chunk: Sequence, width: int = 4, seq_len: int = 128,
-                mode: str = "reference") -> DataFrame:
-    """The whole file as one sequence, cut into ``seq_len``-wide rows with overflow.
-
-    Every row is ``[start] pieces [end]`` padded; a word cut by a row edge is
-    labelled again at the start of the next row.  Returns
-    (file..., seq, n_pieces, labels).
-    """
-    from tagtide.operators.order import running_sums
-    room = seq_len - 2
-    ign = IGNORE_ID
-    words = tokens.withColumn("_np", F.size(F.expr(fixed_width_sql("word", width))))
-    words = running_sums(words, list(file_cols), list(order), list(chunk), {"_np": F.col("_np")})
-    # one row per (word, output row) segment: a word spans one row, or more
-    # when a row edge cuts it; every segment starts with the word's label
-    # (a segment starting inside a word starts a row), the rest are ignored
-    first_seq = F.expr(f"_np_before div {room}")
-    last_seq = F.expr(f"(_np_before + _np - 1) div {room}")
-    segs = words.where(F.col("_np") > 0).select(
-        *file_cols, F.expr(tag_id_sql("tag", mode)).cast("int").alias("_tid"), "_np_before", "_np",
-        F.explode(F.sequence(first_seq, last_seq)).alias("seq"))
-    lo = F.greatest(F.col("_np_before"), F.col("seq") * room)
-    hi = F.least(F.col("_np_before") + F.col("_np"), (F.col("seq") + 1) * room)
-    pieces = segs.select(
-        *file_cols, F.col("seq").cast("bigint").alias("seq"),
-        (lo - F.col("seq") * room).cast("int").alias("_j"),
-        F.concat(F.array(F.col("_tid")), F.array_repeat(F.lit(ign), (hi - lo - 1).cast("int"))).alias("_label"))
-    rows = pieces.groupBy(*file_cols, "seq").agg(
-        F.array_sort(F.collect_list(F.struct("_j", "_label"))).alias("_ls"))
-    rows = rows.withColumn("_ls", F.flatten(F.transform("_ls", lambda x: x["_label"])))
-    return rows.select(
-        *file_cols, "seq", F.size("_ls").cast("bigint").alias("n_pieces"),
-        F.expr(f"concat(array({ign}), _ls, array({ign}), "
-               f"array_repeat({ign}, {room} - size(_ls)))").alias("labels"))

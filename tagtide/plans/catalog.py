@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tagtide.functions.tags import NUM_LABELS, id_tag, tag_id
-from tagtide.operators.align import collate, decoded_words, flat_chunks
-from tagtide.operators.islands import classify_lines, group_sentences
+from tagtide.operators.align import collate, decoded_words
+from tagtide.operators.flat import flat_rows
+from tagtide.operators.islands import group_sentences
 from tagtide.operators.metrics import score, score_by_type, span_errors as span_error_rows, span_rows
 from tagtide.operators.order import doc_chunk, ordinal
 from tagtide.operators.predict import argmax, compat_lines, masked_pairs
@@ -29,6 +30,7 @@ from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, corpus_files
                                     of_languages, registry, tagged_tokens)
 from tagtide.sources.iob import read_predictions, sentence_block, write_predictions
 from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
+from tagtide.streaming.jobs import job_runs, read_runs, stream_runs
 from tagtide.streaming.status import (EVENT_TERMINAL_STATES, all_terminal, first_state, job_events,
                                       latest_state, read_published, stream_latest_state, stream_watch)
 
@@ -93,10 +95,10 @@ def iob_sentences_hash_anywhere(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iob_flat_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    lines = iob_lines(corpus(spark, sf), "gold")
-    rows = classify_lines(lines, comment="start", strict_fields=5).where(F.col("kind") == "w")
-    chunks = flat_chunks(rows, ["file"], ["line_no", "idx"],
-                         [F.expr(f"line_no div {LINE_CHUNK}")], width=4, seq_len=128)
+    # a sentence's lines come out of its row together, so its line number is their block
+    lines = iob_lines(corpus(spark, sf), "gold").select(
+        "file", F.col("line_no").alias("block_start"), F.col("idx").alias("line_id"), "value")
+    chunks = flat_rows(lines, seq_len=128)
     return chunks.select(F.col("file").cast("bigint").alias("file"), "seq", "n_pieces",
                          F.array_join("labels", ",").alias("labels"))
 
@@ -437,6 +439,23 @@ def stream_watch_q(spark: SparkSession, sf: str) -> DataFrame:
     return read_published(spark, table)
 
 
+def _in_micros(runs: DataFrame) -> DataFrame:
+    return runs.withColumns({c: F.unix_micros(c) for c in ("started", "last_ts")})
+
+
+def job_runs_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of every job: to a terminal event, or to a day of silence."""
+    return _in_micros(job_runs(job_events(read_table(spark, sf, "events"), zoned=True), EVENT_TERMINAL_STATES))
+
+
+def stream_job_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same runs, found by a stream whose state ends with them."""
+    src, schema = _event_files(spark, sf)
+    table, ckpt = (scratch_path(spark, n) for n in ("runs", "runs-ckpt"))
+    stream_runs(spark, src, schema, table, ckpt, EVENT_TERMINAL_STATES)
+    return _in_micros(read_runs(spark, table))
+
+
 def stream_lines_q(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns rolled into line files and tailed by the file stream."""
     lines = conversation_lines(read_table(spark, sf, "conversations"))
@@ -548,6 +567,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "first_state": first_state_q,
     "stream_latest_state": stream_latest_state_q,
     "stream_watch": stream_watch_q,
+    "job_runs": job_runs_q,
+    "stream_job_runs": stream_job_runs,
     "stream_lines": stream_lines_q,
     "stream_score": stream_score_q,
     "majority_tagger": majority_tagger,

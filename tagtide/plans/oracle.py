@@ -438,6 +438,22 @@ k AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY t DESC, CASE WHEN t
 SELECT job, event_type AS state, t AS ended FROM k WHERE rn = 1"""
 
 
+def _runs() -> str:
+    """Runs of a job by plain windows over all its events."""
+    from tagtide.streaming.jobs import DELAY_HOURS, SILENCE_HOURS
+    from tagtide.streaming.status import EVENT_TERMINAL_STATES
+    cond = " OR ".join(f"split_part(event_type, ' ', 1) = {_q(t)}" for t in EVENT_TERMINAL_STATES)
+    return f"""WITH e AS (SELECT user_id AS job, event_type AS state, ts, event_id, epoch_us(ts) AS us, {cond} AS term FROM events),
+s AS (SELECT *, CASE WHEN lag(us) OVER w IS NULL OR lag(term) OVER w OR us - lag(us) OVER w > {SILENCE_HOURS} * 3600000000
+                     THEN 1 ELSE 0 END AS starts FROM e WINDOW w AS (PARTITION BY job ORDER BY ts, event_id)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY job ORDER BY ts, event_id) AS run FROM s),
+g AS (SELECT job, run, arg_min(event_id, us) AS first_event, min(us) AS started, max(us) AS last_us, arg_max(state, us) AS state,
+             count(*) AS n_events, bool_or(term) AS term, max(run) OVER (PARTITION BY job) AS runs FROM r GROUP BY job, run)
+SELECT job, first_event, started, last_us AS last_ts, state, n_events,
+       CASE WHEN term THEN 'ended' WHEN run < runs OR last_us // 1000 + {SILENCE_HOURS} * 3600000 <
+            (SELECT max(us) // 1000 FROM e) - {DELAY_HOURS} * 3600000 THEN 'silent' ELSE 'open' END AS status FROM g"""
+
+
 FIRST = """
 WITH f AS (
   SELECT user_id AS job, trim(event_type) AS state,
@@ -616,6 +632,8 @@ GROUP BY s.lang, s.doc_id, s.line_no""",
         "first_state": FIRST,
         "stream_latest_state": LATEST,
         "stream_watch": _watch(),
+        "job_runs": _runs(),
+        "stream_job_runs": _runs(),
         "stream_lines": LINES,
         "stream_score": _score(),
         "corpus_languages": f"""WITH {REG}

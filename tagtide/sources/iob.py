@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagtide.operators.flat import DEFAULT_SEQ_LEN, flat_rows
 from tagtide.operators.islands import classify_lines, fold_scan
 
 
@@ -72,6 +73,12 @@ def read_flat(spark: SparkSession, paths: str | Sequence[str], comment: str = "s
     return rows.where(F.col("kind") == "w").select("file", "block_start", "line_id", "word", "tag")
 
 
+def read_flat_rows(spark: SparkSession, paths: str | Sequence[str], seq_len: int = DEFAULT_SEQ_LEN, **options) -> DataFrame:
+    """(file, seq, n_pieces, labels): every file as one sequence of pieces cut
+    into ``seq_len``-wide rows; ``options`` as for ``operators.flat.fold_words``."""
+    return flat_rows(read_lines(spark, paths), seq_len, **options)
+
+
 def sentence_block(words: str = "words", pred: str = "pred", gold: str = "gold"):
     """The prediction lines of one sentence row, built inside the row."""
     return F.array_join(F.transform(

@@ -128,13 +128,13 @@ def stream_watch(spark: SparkSession, source: str, schema: str | StructType, tab
 
 def watch_until_terminal(spark: SparkSession, source: str, schema: str | StructType, table: str, checkpoint: str,
                          terminal: Sequence[str] = TERMINAL_STATES, poll: str = "2 seconds",
-                         timeout_s: float = 600.0, watermark: str = "1 day") -> bool:
+                         timeout_s: float = 600.0, watermark: str = "1 day") -> None:
     """Keep the latest state per job up to date until every job is terminal.
 
     Each micro-batch publishes the per-job table and checks, on that table,
     whether all jobs have reached a terminal state; the driver stops the query
-    once a batch says so (or at the timeout).  Returns whether all jobs ended;
-    a stream that failed raises.
+    once a batch says so.  Raises TimeoutError if none has after ``timeout_s``;
+    a stream that failed raises its error.
     """
     import threading
 
@@ -157,4 +157,5 @@ def watch_until_terminal(spark: SparkSession, source: str, schema: str | StructT
         q.stop()
     if failure is not None:
         raise failure
-    return done.is_set()
+    if not done.is_set():
+        raise TimeoutError(f"not all jobs are terminal after {timeout_s} s")

@@ -89,8 +89,8 @@ def test_watcher_stops_when_all_jobs_terminal(spark):
     events.write.parquet(src)
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     all_types = [r.event_type for r in events.select("event_type").distinct().collect()]
-    assert watch_until_terminal(spark, src, schema, table, ckpt, terminal=all_types, poll="1 second",
-                                timeout_s=120)
+    watch_until_terminal(spark, src, schema, table, ckpt, terminal=all_types, poll="1 second",
+                         timeout_s=120)
     assert spark.read.parquet(table).count() == events.select("user_id").distinct().count()
 
 
