@@ -505,6 +505,39 @@ def per_target_tagger(spark: SparkSession, sf: str) -> DataFrame:
     return score(apply_majority(model, test, by="target_lang"), ["target_lang"]).select("target_lang", *SCORE_COLS)
 
 
+TRAIN_EPOCHS = 3
+
+
+def _target_models(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Weights and losses of a tagger per target language, trained together on
+    the targets' mixes, and the test split's sentences."""
+    from tagtide.operators import maxent
+    from tagtide.operators.model import KEY
+    s = with_splits(spark, sf)
+    mixes = experiment_grid(spark, sf).withColumnRenamed("target_lang", "key")
+    words = maxent.word_contexts(mixes.join(s.select(*KEY, "words", "gold"), KEY), ["key"])
+    weights, losses = maxent.train(maxent.context_counts(words), TRAIN_EPOCHS)
+    return weights, losses, s.where(F.col("split") == "test").select(*KEY, "words", "gold")
+
+
+def target_training_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean training and held-out loss by epoch of every target's tagger, all trained in one pass an epoch."""
+    from tagtide.operators import maxent
+    weights, losses, test = _target_models(spark, sf)
+    held = materialize(maxent.context_counts(maxent.word_contexts(test, []), ()), "held-out-contexts")
+    return losses.join(maxent.held_out_losses(weights, held), ["key", "epoch"]).select(
+        F.col("key").alias("target_lang"), F.col("epoch").cast("bigint").alias("epoch"), "n_train", "train_loss", "test_loss")
+
+
+def target_best_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    """Every epoch of every target's tagger scored on the whole test split in one pass, and the best of each."""
+    from tagtide.operators import maxent
+    from tagtide.operators.model import KEY
+    weights, _, test = _target_models(spark, sf)
+    scored = maxent.choose(maxent.span_scores(weights, test, KEY), ["model_key"])
+    return scored.select(F.col("model_key").alias("target_lang"), F.col("epoch").cast("bigint").alias("epoch"), *SCORE_COLS, "best")
+
+
 def vocab_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Every distinct word of the corpus cut by a vocabulary: the affixes of the benchmark's words."""
     from tagtide.functions.vocab import affix_vocab, split_distinct
@@ -573,6 +606,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_score": stream_score_q,
     "majority_tagger": majority_tagger,
     "per_target_tagger": per_target_tagger,
+    "target_training_loss": target_training_loss,
+    "target_best_epoch": target_best_epoch,
     "vocab_pieces": vocab_pieces,
     "token_features": token_features_q,
     "token_classifier": token_classifier,

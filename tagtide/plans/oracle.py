@@ -536,6 +536,79 @@ tok_m AS (
     return f"SELECT lang AS target_lang, * EXCLUDE (lang) FROM ({_score('lang', head, 'tok_m')})"
 
 
+def _target_models() -> str:
+    """Iterative scaling, epoch by epoch: weights wt0..wt3, losses and the
+    scores of all test contexts under every epoch (held)."""
+    from tagtide.operators.maxent import MAX_LENGTH, SMOOTHING
+    from tagtide.plans.catalog import TRAIN_EPOCHS
+    k = range(7)
+    shape = r"regexp_replace(regexp_replace(regexp_replace(word, '\p{Lu}', 'X', 'g'), '\p{Ll}', 'x', 'g'), '[0-9]', 'd', 'g')"
+    feats = (f"['w=' || lower(word), 'p=' || lower(left(word, 3)), 's=' || lower(right(word, 3)), 'h=' || {shape}, "
+             f"'v=' || prev, 'l=' || least(length(word), {MAX_LENGTH})]")
+    ns = ", ".join(f"n{c}" for c in k)
+    top = "greatest(" + ", ".join(f"s{c}" for c in k) + ")"
+    exps = ", ".join(f"exp((s{c} - {top})::DOUBLE / 1000000.0) AS x{c}" for c in k)
+    total = " + ".join(f"x{c}" for c in k)
+    loss = " + ".join(f"CASE WHEN n{c} > 0 THEN floor(-ln(x{c} / z) * n{c} * 1000000 + 0.5)::BIGINT ELSE 0 END" for c in k)
+    ctes, last = _grid().rsplit("\nSELECT ", 1)
+    out = f"""{ctes},
+mix AS (SELECT {last}),
+shaped AS (SELECT doc_id, line_no, pos, word, gold, {_tag_id('gold')} AS tid, {shape} AS sh FROM tok),
+ctx AS MATERIALIZED (SELECT *, COALESCE(lag(sh) OVER (PARTITION BY doc_id, line_no ORDER BY pos), '<s>') AS prev FROM shaped),
+ex AS MATERIALIZED (SELECT target_lang AS key, word, prev, count(*) AS n, {', '.join(f'count_if(tid = {c}) AS n{c}' for c in k)}
+       FROM ctx JOIN mix USING (doc_id, line_no) GROUP BY ALL),
+exf AS MATERIALIZED (SELECT *, unnest({feats}) AS f FROM ex),
+tex AS MATERIALIZED (SELECT word, prev, count(*) AS n, {', '.join(f'count_if(tid = {c}) AS n{c}' for c in k)}
+        FROM ctx JOIN (SELECT doc_id, line_no FROM spl WHERE split = 'test') USING (doc_id, line_no) GROUP BY ALL),
+texf AS MATERIALIZED (SELECT *, unnest({feats}) AS f FROM tex),
+obs AS MATERIALIZED (SELECT key, f, {', '.join(f'sum(n{c}) AS o{c}' for c in k)} FROM exf GROUP BY key, f),
+keys AS (SELECT DISTINCT key FROM ex),
+wt0 AS MATERIALIZED (SELECT key, f, {', '.join(f'0::BIGINT AS w{c}' for c in k)} FROM obs)"""
+    for e in range(TRAIN_EPOCHS + 1):
+        sums = ", ".join(f"sum(COALESCE(w{c}, 0))::BIGINT AS s{c}" for c in k)
+        out += f""",
+sc{e} AS MATERIALIZED (SELECT *, {total} AS z FROM (SELECT *, {exps} FROM (
+  SELECT key, word, prev, n, {ns}, {sums} FROM exf JOIN wt{e} USING (key, f) GROUP BY key, word, prev, n, {ns}))),
+ls{e} AS (SELECT key, {e} AS epoch, sum(n)::BIGINT AS n_train, sum({loss})::DOUBLE / (sum(n)::DOUBLE * 1000000.0) AS train_loss
+  FROM sc{e} GROUP BY key),
+held{e} AS MATERIALIZED (SELECT *, {total} AS z FROM (SELECT *, {exps} FROM (
+  SELECT g.key, {e} AS epoch, word, prev, n, {ns}, {sums} FROM texf CROSS JOIN keys g LEFT JOIN wt{e} w ON w.key = g.key AND w.f = texf.f
+  GROUP BY g.key, word, prev, n, {ns})))"""
+        if e < TRAIN_EPOCHS:
+            want = ", ".join(f"sum(floor(x{c} / z * n * 1000000 + 0.5)::BIGINT) AS e{c}" for c in k)
+            new = ", ".join(f"(w{c} + floor(ln((o{c} + {SMOOTHING}::DOUBLE) / (e{c}::DOUBLE / 1000000.0 + {SMOOTHING}::DOUBLE)) * 1000000 / 6 + 0.5))::BIGINT AS w{c}"
+                            for c in k)
+            out += f""",
+want{e} AS (SELECT key, f, {want} FROM (SELECT *, unnest({feats}) AS f FROM sc{e}) GROUP BY key, f),
+wt{e + 1} AS MATERIALIZED (SELECT key, f, {new} FROM wt{e} JOIN want{e} USING (key, f) JOIN obs USING (key, f))"""
+    epochs = range(TRAIN_EPOCHS + 1)
+    return out + f""",
+losses AS ({' UNION ALL '.join(f'SELECT * FROM ls{e}' for e in epochs)}),
+held AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM held{e}' for e in epochs)}),
+held_loss AS (SELECT key, epoch, sum({loss})::DOUBLE / (sum(n)::DOUBLE * 1000000.0) AS test_loss FROM held GROUP BY key, epoch)"""
+
+
+def _training_loss() -> str:
+    return f"""{_target_models()}
+SELECT key AS target_lang, epoch::BIGINT AS epoch, n_train, train_loss, test_loss FROM losses JOIN held_loss USING (key, epoch)"""
+
+
+def _best_epoch() -> str:
+    best = "CASE " + " ".join(f"WHEN s{c} = greatest({', '.join(f's{i}' for i in range(7))}) THEN {c}" for c in range(7)) + " END"
+    # the span windows go by (doc_id, line_no): a test sentence is one per model
+    head = f"""{_target_models()},
+models AS (SELECT key, epoch, row_number() OVER (ORDER BY key, epoch) - 1 AS no, count(*) OVER () AS k
+           FROM (SELECT DISTINCT key, epoch FROM held)),
+tok_b AS (
+  SELECT m.key || '|' || m.epoch AS lang, t.doc_id * m.k + m.no AS doc_id, t.line_no, t.pos, t.gold, h.pred
+  FROM (SELECT c.* FROM ctx c JOIN spl s USING (doc_id, line_no) WHERE s.split = 'test') t
+  JOIN (SELECT key, epoch, word, prev, {_id_tag(best)} AS pred FROM held) h USING (word, prev)
+  JOIN models m ON m.key = h.key AND m.epoch = h.epoch)"""
+    return f"""SELECT split_part(lang, '|', 1) AS target_lang, split_part(lang, '|', 2)::BIGINT AS epoch, n_pred, n_gold, tp, n_tok, n_eq,
+       precision, recall, f1, accuracy, CAST(row_number() OVER (PARTITION BY split_part(lang, '|', 1)
+       ORDER BY f1 DESC, split_part(lang, '|', 2)::BIGINT) = 1 AS INT) AS best FROM ({_score('lang', head, 'tok_b')})"""
+
+
 def _vocab_pieces() -> str:
     cand = lambda k: f"CASE WHEN ws = 0 THEN substr(word, 1, {k}) ELSE '##' || substr(word, ws + 1, {k}) END"
     best = "COALESCE(" + ", ".join(f"v{k}.piece" for k in range(6, 0, -1)) + ")"
@@ -642,6 +715,8 @@ FROM documents GROUP BY lang""",
         "token_features": _token_features(),
         "majority_tagger": _majority(),
         "per_target_tagger": _per_target(),
+        "target_training_loss": _training_loss(),
+        "target_best_epoch": _best_epoch(),
         "vocab_pieces": _vocab_pieces(),
     }
 
