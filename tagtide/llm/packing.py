@@ -3,11 +3,13 @@
 Every task packs the documents of its own partition online (Csirik et al.,
 2006): N[h] counts the partially filled windows of fill level h, and a piece
 of length s goes to the level h whose step h -> h + s makes the sum of the
-squared counts smallest (opening a window is the step 0 -> s).  No shuffle is
-needed.  Documents longer than a window fill whole windows first.  When a task
-ends, its open windows are poured together, cut where a window is full, so
-that at most one remainder is left; it is cut into sequences whose lengths
-are powers of two, which need no padding.
+squared counts smallest (opening a window is the step 0 -> s).  Documents
+longer than a window fill whole windows first.  When a task ends, the pieces
+of its open windows go, with those of up to FAN tasks, through a second level
+array, longest first, and what that leaves open through a third; no document
+is shuffled but those pieces.  What is open then is poured together, cut where
+a window is full, so that a group of tasks leaves at most one remainder; it is
+cut into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.llm.common import ids_as_text, pick, ship
+from tagtide.llm.common import ids_as_text, materialize, pick, ship
 
 WINDOW = 2048
 END_ID = 1
+FAN = 32      # tasks whose open windows are packed together
+ROUNDS = 2    # level arrays that these pass through
 #: fixed value: the pieces of a byte-level BPE
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = ("doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -92,11 +96,10 @@ def _load(path: str) -> Callable[[str], np.ndarray]:
 class Packer:
     """Windows of one task.  A piece is (doc, start, ids, doc_tokens)."""
 
-    def __init__(self, window: int, first_sequence: int, max_open: int = 4096) -> None:
-        self.window, self.next, self.max_open = window, first_sequence, max_open
+    def __init__(self, window: int, first_sequence: int) -> None:
+        self.window, self.next = window, first_sequence
         self.count = np.zeros(window + 1, np.int64)  # the level array
         self.open: dict[int, list[list]] = defaultdict(list)
-        self.n_open = 0
         self.rows: list[tuple] = []
 
     def add(self, doc: str | None, ids: np.ndarray) -> None:
@@ -105,9 +108,9 @@ class Packer:
         for start in range(0, whole, w):
             self._close([(doc, start, ids[start:start + w], n)])
         if n > whole:
-            self._place((doc, whole, ids[whole:].copy(), n))
+            self.place((doc, whole, ids[whole:].copy(), n))
 
-    def _place(self, piece: tuple) -> None:
+    def place(self, piece: tuple) -> None:
         s, w, count = len(piece[2]), self.window, self.count
         levels = np.flatnonzero(count[:w - s + 1])  # fill levels with room
         # change of the sum of squares: N[h] falls by one, N[h + s] grows by one (a full window is not counted)
@@ -117,7 +120,6 @@ class Packer:
             h = int(levels[len(levels) - 1 - np.argmin(gain[::-1])])  # the fullest of equals
             pieces = self.open[h].pop()
             count[h] -= 1
-            self.n_open -= 1
         else:
             h, pieces = 0, []
         pieces.append(piece)
@@ -126,9 +128,13 @@ class Packer:
             return
         self.open[h + s].append(pieces)
         count[h + s] += 1
-        self.n_open += 1
-        if self.n_open > self.max_open:
-            self.pour()
+
+    def left(self) -> list[tuple]:
+        """The pieces of the open windows, which are emptied."""
+        pieces = [x for level in sorted(self.open) for window in self.open[level] for x in window]
+        self.open.clear()
+        self.count[:] = 0
+        return pieces
 
     def pour(self) -> None:
         """Close every open window: fill windows from their pieces, fullest first."""
@@ -145,7 +151,6 @@ class Packer:
                             held, room = [], self.window
         self.open.clear()
         self.count[:] = 0
-        self.n_open = 0
         left = self.window - room
         size = 1 << max(0, left.bit_length() - 1)
         part: list[tuple] = []
@@ -179,21 +184,51 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     A null text is empty and still has its end id.  Repeated rows are packed
     each.  A null id stays null.  Other columns are not read.  A sequence id
-    is the task's partition number times 2^32 plus a counter, so a lost task
-    that runs again gives the same rows."""
+    is the number of the task, or of the group of tasks, times 2^32 plus a
+    counter, so a lost task that runs again gives the same rows."""
     ship(docs.sparkSession)
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path)
-        packer = Packer(window, TaskContext.get().partitionId() << 32)
+        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        packer = Packer(window, part << 32)
         end = np.array([end_id], np.uint32)
         for b in batches:
             for doc, text in zip(b["id"], b["text"]):
                 packer.add(doc, np.concatenate([encode(text), end]))
-            yield packer.take()
-        packer.pour()
-        yield packer.take()
-
-    return pick(docs, id=id_col, text=text_col).select(
+            yield packer.take().assign(ids=None, team=None)
+        rest = packer.left()
+        for lo in range(0, len(rest), 1024):
+            yield pd.DataFrame([(doc, start, len(ids), None, n, None, None, ids.astype("<u4").tobytes(), part // FAN)
+                                for doc, start, ids, n in rest[lo:lo + 1024]], columns=[*columns, "ids", "team"])
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer, now = None, None
+
+        def done() -> pd.DataFrame:
+            for _ in range(ROUNDS - 1):
+                for piece in sorted(packer.left(), key=lambda p: -len(p[2])):  # of equals in the order they stand
+                    packer.place(piece)
+            packer.pour()
+            return packer.take()
+
+        for b in batches:  # the pieces of a team stand together, the longest first
+            for doc, start, ids, n, team in zip(b["doc_id"], b["start"], b["ids"], b["doc_tokens"], b["team"]):
+                if team != now:
+                    if packer is not None:
+                        yield done()
+                    packer, now = Packer(window, (1 << 58) + (int(team) << 32)), team
+                packer.place((doc, int(start), np.frombuffer(ids, "<u4"), int(n)))
+            if packer is not None:
+                yield packer.take()
+        if packer is not None:
+            yield done()
+
+    first = pick(docs, id=id_col, text=text_col).select(
         ids_as_text("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(
-        run, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+        run, f"{SCHEMA}, ids binary, team bigint")
+    first = materialize(first, "packing")
+    rest = first.where("team is not null").repartition(F.col("team")).sortWithinPartitions(
+        "team", F.desc("length"), "doc_id", "start", "ids")
+    return first.where("team is null").select(*columns).unionByName(rest.mapInPandas(gather, SCHEMA)).withColumn(
+        "doc_id", F.col("doc_id").cast("bigint"))
