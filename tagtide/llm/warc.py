@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -29,6 +30,7 @@ RECORD = ("page_id string, url string, payload_bytes bigint, payload_digest stri
           "refers_to string, payload binary")
 _GAP, _RANGE = 1 << 16, 8 << 20  # bytes skipped inside, and length of, one read
 _TASK = 16 << 20  # archive bytes that a reading task takes
+_NO_HEADER = re.compile("[\x00-\x1f\x7f]|^ +| +$")  # of a url, what a header line cannot hold
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -47,7 +49,7 @@ def record(page: str | None, url: str | None, payload: bytes, sha1: str, refers:
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}",
             f"WARC-Record-ID: {_urn(page)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]~"))
+        head.append("WARC-Target-URI: " + _NO_HEADER.sub(lambda m: quote(m[0]), url))
     head.append(f"WARC-Payload-Digest: sha1:{sha1}")
     if refers is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
@@ -85,23 +87,22 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(records: DataFrame, folder: str, date: str = DATE) -> DataFrame:
-    """Write (id, url, payload, refers) rows and return the index.  A task
-    writes under a name of its own attempt and renames at the end, so that a
-    task that runs again leaves one whole archive."""
+    """Write (id, url, payload, refers) rows and return the index.  The name
+    of an archive holds the attempt that wrote it, so attempts never touch each
+    other's; the index, which is written once from the attempts that counted,
+    says which archives are meant.  Others that are left behind are not read."""
     ship(records.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        name = f"part-{task.partitionId():06d}.warc.gz"
-        tmp, at = f"{root}/.{name}.{task.taskAttemptId()}", 0
-        out = None
+        name, at, out = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz", 0, None
         for b in batches:
             rows = []
             for page, url, payload, refers in zip(b["id"], b["url"], b["payload"], b["refers"]):
                 if out is None:
-                    out = fs.open_output_stream(tmp)
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 sha1 = digest(payload)
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = pack.compress(record(page, url, payload, sha1, refers, date)) + pack.flush()
@@ -112,7 +113,6 @@ def write_archives(records: DataFrame, folder: str, date: str = DATE) -> DataFra
             yield pd.DataFrame(rows, columns=["id", "file", "offset", "length", "url", "digest", "record_type"])
         if out is not None:
             out.close()
-            fs.move(tmp, f"{root}/{name}")
 
     return materialize(records.select(ids_as_text("id"), "url", "payload", ids_as_text("refers")).mapInPandas(
         run, INDEX).withColumn("id", F.col("id").cast("bigint")), "warc-index")
@@ -168,6 +168,7 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     A null html is an empty payload, and empty payloads equal each other.  Of
     equal payloads the least id is the response; repeated rows of that id, and
     rows with a null id, are responses too (a null id cannot be compared).  A
-    null url has no target header.  Other columns are not read."""
+    null url has no target header; others are kept as given, but for control characters
+    and spaces at the ends, which are percent-encoded.  Other columns are not read."""
     rows = pick(pages, id=id_col, url=url_col, html=html_col)
     return write_archives(plan_records(rows, min_bytes), folder or scratch_path(pages.sparkSession, "warc"))
