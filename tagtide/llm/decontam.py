@@ -147,10 +147,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      **settings: int) -> DataFrame:
-    """The rows of ``docs`` whose text overlaps no test item."""
+                      min_tokens: int = 7, **settings: int) -> DataFrame:
+    """The rows of ``docs`` whose text overlaps no test item of ``min_tokens``
+    or more; a shorter one (a name, a common phrase) stands in clean texts too."""
     text = F.col(f"`{text_col}`").cast("string")
     hit = overlaps(docs.select(F.xxhash64(F.lit(5), text).alias("id"), text.alias("text")),
                    benchmark.select(F.col("item_id").alias("item"), "text").where("item is not null"), **settings)
-    bad = hit.select(F.col("ver").alias("__v1"), F.col("id").alias("__v2")).distinct()
+    bad = hit.where(F.col("n_tokens") >= min_tokens).select(F.col("ver").alias("__v1"), F.col("id").alias("__v2")).distinct()
     return docs.join(bad, (F.xxhash64(text) == F.col("__v1")) & (F.xxhash64(F.lit(5), text) == F.col("__v2")), "left_anti")

@@ -125,9 +125,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 
 
 def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-               min_docs: int = MIN_DOCS, **sizes: int) -> DataFrame:
+               min_docs: int = MIN_DOCS, stats: str | None = "line_dedup", **sizes: int) -> DataFrame:
     """The columns of ``docs`` with their text replaced by the lines that stay,
-    and a struct ``line_dedup`` (n_lines, n_dropped) behind them.
+    and a struct ``stats`` (n_lines, n_dropped) behind them, which replaces a
+    column of that name; without it the columns of ``docs`` alone.
 
     A null or empty text is one empty line.  A key counts once per document
     id, however often a document, or a repeated row of it, holds it; the
@@ -144,8 +145,8 @@ def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = F.when(F.col("__line_gone").isNull(), lines).otherwise(F.filter(lines, stays))
     out = joined.withColumn("__kept", kept)
-    stats = F.struct(F.size(lines).cast("bigint").alias("n_lines"),
-                     (F.size(lines) - F.size("__kept")).cast("bigint").alias("n_dropped"))
+    counts = F.struct(F.size(lines).cast("bigint").alias("n_lines"),
+                      (F.size(lines) - F.size("__kept")).cast("bigint").alias("n_dropped"))
     columns = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns
-               if c != "line_dedup"]
-    return out.select(*columns, stats.alias("line_dedup"))
+               if c != stats]
+    return out.select(*columns, *([counts.alias(stats)] if stats else []))
