@@ -32,7 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that op6 drops; n_chars is counted anew.  A
     document that loses every line stays, with an empty text."""
-    kept = line_dedup.keep_lines(docs).drop("line_dedup")
+    kept = line_dedup.keep_lines(docs, stats=None)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
@@ -44,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no item of ``benchmark``."""
+    """Documents that overlap no item of ``benchmark`` of seven tokens or more."""
     return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
