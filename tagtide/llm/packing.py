@@ -29,7 +29,7 @@ from tagtide.llm.common import ids_as_text, materialize, pick, ship
 
 WINDOW = 2048
 END_ID = 1
-FAN = 32      # tasks whose open windows are packed together
+FAN = 8       # tasks whose open windows are packed together
 ROUNDS = 2    # level arrays that these pass through
 #: fixed value: the pieces of a byte-level BPE
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
