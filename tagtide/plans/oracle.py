@@ -626,7 +626,7 @@ cut AS (
          list_append(pieces, p), p IS NULL
   FROM (SELECT word, ws, pieces, {best} AS p FROM cut {joins} WHERE ws < length(word))),
 done AS (
-  SELECT word, CASE WHEN lost OR length(word) > 100 THEN ['[UNK]'] ELSE pieces END AS pieces FROM cut WHERE ws >= length(word))
+  SELECT word, CASE WHEN lost THEN ['[UNK]'] ELSE pieces END AS pieces FROM cut WHERE ws >= length(word))
 SELECT word, n, CAST(len(pieces) AS BIGINT) AS n_pieces, array_to_string(pieces, ' ') AS pieces FROM done JOIN cnt USING (word)"""
 
 
