@@ -31,7 +31,7 @@ PREFIXES = (8, 7, 6, 5, 4, 3)
 PER_CLASS = 2000   # bound of the fitting sample: documents per label, in expectation
 LEARNERS = 6
 STEPS = 30
-SEGMENT = 128      # a chain is a line; longer ones continue in chains of this many tokens
+SEGMENT = 128      # tokens of a chain that are worked through at once; messages join the parts
 THRESHOLD = 0.3    # fixed value of the contract
 _TOKEN = re.compile(r"\w+|\n")
 _MASK = (1 << BITS) - 1
@@ -71,43 +71,93 @@ class Field:
         return np.fromiter(map(self.cache.__getitem__, words), float, len(words))
 
 
+def _messages(e: np.ndarray, t: np.ndarray, first: np.ndarray, size: np.ndarray, rank: np.ndarray,
+              last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes into every part of a chain from the parts before it and from
+    those behind it.  Every part is one 2x2 matrix, the product of its steps."""
+    into, out = np.ones((len(first), 2)), np.ones((len(first), 2))
+    of = np.flatnonzero((rank > 0) | ~last)  # parts of chains that have several
+    of = of[np.argsort(-size[of], kind="stable")]
+    m = np.broadcast_to(np.eye(2), (len(of), 2, 2)).copy()
+    for k in range(int(size[of].max(initial=0))):
+        n = int(np.searchsorted(-size[of], -k, side="left"))
+        x = m[:n] @ t
+        if k == 0:
+            x[rank[of[:n]] == 0] = np.eye(2)  # nothing leads into a chain
+        x = x * e[first[of[:n]] + k][:, None, :]
+        m[:n] = x / x.sum((1, 2), keepdims=True)
+    through = np.zeros((len(first), 2, 2))
+    through[of] = m
+    for r in range(1, int(rank.max(initial=0)) + 1):
+        at = np.flatnonzero(rank == r)
+        x = (into[at - 1][:, None, :] @ through[at - 1])[:, 0]
+        into[at] = x / x.sum(1, keepdims=True)
+    for r in range(int(rank.max(initial=0)) - 1, -1, -1):
+        at = np.flatnonzero((rank == r) & ~last)
+        x = (through[at + 1] @ out[at + 1][:, :, None])[:, :, 0]
+        out[at] = x / x.sum(1, keepdims=True)
+    return into, out
+
+
 def marginals(score: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over many chains at once.  ``score``: emissions of the
     toxic state, chain after chain; ``start``: where each chain starts, and the
     end.  Returns the toxic marginal of each token and the summed 2x2
-    transition marginals."""
-    sizes = np.diff(start)
-    order = np.argsort(-sizes, kind="stable")
-    first, size = start[:-1][order], sizes[order]
+    transition marginals.
+
+    All chains are stepped through together, in parts of SEGMENT tokens, so
+    that a long chain does not make many steps for itself alone; the parts of a
+    chain hand each other their messages, so the result is that of the whole."""
+    whole = np.diff(start)
+    parts = -(-whole // SEGMENT)
+    chain = np.repeat(np.arange(len(whole)), parts)
+    rank = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.asarray(start)[:-1][chain] + rank * SEGMENT
+    size = np.minimum(whole[chain] - rank * SEGMENT, SEGMENT)
     n, t = len(score), np.exp(trans - trans.max())
     e = np.ones((n, 2))
     e[:, 1] = np.exp(np.clip(score, -40, 40))
     alpha, beta = np.empty((n, 2)), np.ones((n, 2))
     pairs = np.zeros((2, 2))
-    live = [int(np.searchsorted(-size, -k, side="left")) for k in range(int(size.max(initial=0)) + 1)]  # chains longer than k
+    goes_on = rank > 0
+    if goes_on.any():
+        into, out = _messages(e, t, first, size, rank, rank == parts[chain] - 1)
+        beta[first + size - 1] = out
+    joints = first[goes_on]
+    order = np.argsort(-size, kind="stable")
+    first, size, goes_on = first[order], size[order], goes_on[order]
+    live = [int(np.searchsorted(-size, -k, side="left")) for k in range(int(size.max(initial=0)) + 1)]  # parts longer than k
     for k in range(len(live) - 1):
         at = first[:live[k]] + k
         a = e[at] if k == 0 else (alpha[at - 1] @ t) * e[at]
+        if k == 0 and len(joints):
+            a = np.where(goes_on[:, None], into[order] @ t, 1.0) * a
         alpha[at] = a / a.sum(1, keepdims=True)
+
+    def steps(at: np.ndarray) -> np.ndarray:
+        x = alpha[at - 1][:, :, None] * t[None] * (e[at] * beta[at])[:, None, :]
+        return (x / x.sum((1, 2), keepdims=True)).sum(0)
+
     for k in range(len(live) - 2, 0, -1):
         at = first[:live[k]] + k
         b = (e[at] * beta[at]) @ t.T
         beta[at - 1] = b / b.sum(1, keepdims=True)
-        x = alpha[at - 1][:, :, None] * t[None] * (e[at] * beta[at])[:, None, :]
-        pairs += (x / x.sum((1, 2), keepdims=True)).sum(0)
+        pairs += steps(at)
+    if len(joints):
+        pairs += steps(joints)
     m = alpha * beta
     return m[:, 1] / m.sum(1), pairs
 
 
 def chains(text: str | None) -> tuple[list[str], list[int], list[int]]:
-    """Words, their offsets in code points, and the starts of the chains."""
+    """Words, their offsets in code points, and the starts of the chains: a chain is a line."""
     words, offsets, starts, fresh = [], [], [], True
     for m in _TOKEN.finditer(text or ""):
         w = m.group()
         if w == "\n":
             fresh = True
             continue
-        if fresh or len(words) - starts[-1] >= SEGMENT:
+        if fresh:
             starts.append(len(words))
             fresh = False
         words.append(w)
