@@ -8,12 +8,16 @@ to another shard, so one fingerprint crosses the shuffle 1 + b + b(b-1)/2
 times and each shard writes out the tails itself, sorts, deduplicates and
 verifies what meets there.  A variant links its least fingerprint with the
 others that meet there: linear in the variants, never all pairs of a group.
+A shard with far more variants than usual (a family of texts whose
+fingerprints share their head) is dealt again by its next bits, the same
+emission one level down, until no shard is over its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,7 @@ from tagtide.llm.components import components
 #: fixed values of the contract
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 SHARD, MIN_SHARD_BITS = 4096, 12  # a shard's own fingerprints; fewest head bits that name a shard
+HOT, MORE_BITS, LAST_BITS = 1 << 24, 8, 16  # variants of a shard that is dealt again, by how many bits, down to which tail
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -116,51 +121,117 @@ def shard_links(fps: np.ndarray, flips: np.ndarray, tail_bits: int, radius: int,
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, shard_bits: int | None = None) -> DataFrame:
+def _ball(bits: int, radius: int) -> int:
+    """Number of variants of ``bits`` bits within the radius."""
+    return sum(comb(bits, k) for k in range(radius + 1))
+
+
+def _emit(fp: np.ndarray, prefix: np.ndarray, flips: np.ndarray, depth: int, bits: int, radius: int) -> tuple:
+    """(fp, prefix, flips) one level down: the next ``bits`` bits behind
+    ``depth`` with every change that the rest of the radius allows."""
+    own = (fp << np.uint64(depth)) >> np.uint64(64 - bits)
+    out = []
+    for f in range(radius + 1):
+        here = flips == f
+        for k in range(radius - f + 1):
+            mask = _masks(range(bits), k)
+            head = (prefix[here] << np.uint64(bits) | own[here])[:, None] ^ mask[None, :]
+            out.append((np.repeat(fp[here], len(mask)), head.ravel(), np.full(head.size, f + k, np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _shards(fp: np.ndarray, levels: list[tuple[int, np.ndarray]], shard_bits: int, radius: int) -> Iterator[tuple]:
+    """(depth, fp, prefix, flips) of every shard that the fingerprints go to.
+    ``levels`` are (depth, sorted prefixes of the shards of that depth that
+    are dealt again)."""
+    rows = _emit(fp, np.zeros(len(fp), np.uint64), np.zeros(len(fp), np.int8), 0, shard_bits, radius)
+    depth = shard_bits
+    for at, hot in levels:
+        again = np.isin(rows[1], hot)
+        yield (at, *(x[~again] for x in rows))
+        rows = _emit(*(x[again] for x in rows), at, MORE_BITS, radius)
+        depth = at + MORE_BITS
+    yield (depth, *rows)
+
+
+def _hot_levels(fps: DataFrame, shard_bits: int, radius: int, hot: int) -> list[tuple[int, np.ndarray]]:
+    """The levels' shards of over ``hot`` variants, counted in Spark.  Only
+    the numbers of such shards reach the driver: each stands for ``hot`` of
+    the variants, at most one for some thousands of fingerprints."""
+    levels: list[tuple[int, np.ndarray]] = []
+    depth = shard_bits
+    while 64 - depth > LAST_BITS:
+        weight = np.array([_ball(64 - depth, radius - f) for f in range(radius + 1)], np.int64)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), 4096):
+                    fp = b["fp"].to_numpy(np.int64)[lo:lo + 4096].view(np.uint64)
+                    *_, (_, _, prefix, flips) = _shards(fp, levels, shard_bits, radius)
+                    shard, at = np.unique(prefix, return_inverse=True)
+                    n = np.zeros(len(shard), np.int64)
+                    np.add.at(n, at, weight[flips])
+                    yield pd.DataFrame({"shard": shard.view(np.int64), "n": n})
+
+        found = (fps.select("fp").mapInPandas(count, "shard bigint, n bigint").groupBy("shard")
+                 .agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("shard").collect())
+        if not found:
+            break
+        levels.append((depth, np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))))
+        depth += MORE_BITS
+    return levels
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, shard_bits: int | None = None,
+                      hot: int = HOT) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints (column fp) at most
     ``max_bits`` apart, an even number: half of it is the balls' radius.
     ``shard_bits`` sets the number of shards, not the links; by default it
-    follows the number of fingerprints, so that a shard has about SHARD of its own."""
+    follows the number of fingerprints, so that a shard has about SHARD of its
+    own.  A shard of over ``hot`` variants is dealt again by its next bits:
+    the same links, from more and smaller shards."""
     if max_bits < 0 or max_bits % 2:
         raise ValueError("max_bits must be even: two balls of one radius meet at an even distance")
     ship(fps.sparkSession)
     if shard_bits is None:
         shard_bits = max(MIN_SHARD_BITS, (fps.count() // SHARD).bit_length())
-    radius, tail = (max_bits + 1) // 2, 64 - shard_bits
-    heads = [(int(m), k) for k in range(radius + 1) for m in _masks(range(shard_bits), k)]
+    radius = (max_bits + 1) // 2
+    levels = _hot_levels(fps, shard_bits, radius, hot)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mask, flips = (np.array(x) for x in zip(*heads))
         for b in batches:
             for lo in range(0, len(b), 4096):
                 fp = b["fp"].to_numpy(np.int64)[lo:lo + 4096].view(np.uint64)
-                head = (fp >> np.uint64(tail)).astype(np.int64)
-                yield pd.DataFrame({"shard": (head[:, None] ^ mask[None, :]).ravel().astype(np.int32),
-                                    "fp": np.repeat(fp.view(np.int64), len(mask)),
-                                    "flips": np.tile(flips.astype(np.int8), len(fp))})
+                for depth, own, prefix, flips in _shards(fp, levels, shard_bits, radius):
+                    yield pd.DataFrame({"depth": np.full(len(own), depth, np.int8), "shard": prefix.view(np.int64),
+                                        "fp": own.view(np.int64), "flips": flips})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        key = lambda part: (part["depth"].iloc[0], part["shard"].iloc[0])
 
         def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
             x = pd.concat(parts)
-            pairs = shard_links(x["fp"].to_numpy(np.int64).view(np.uint64), x["flips"].to_numpy(), tail,
-                                radius, max_bits)
+            pairs = shard_links(x["fp"].to_numpy(np.int64).view(np.uint64), x["flips"].to_numpy(),
+                                64 - int(x["depth"].iloc[0]), radius, max_bits)
             return pd.DataFrame({"a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64)})
 
         for b in batches:  # rows of a shard stand together
-            cut = _runs(b["shard"].to_numpy())
-            for lo, hi in zip(cut[:-1], cut[1:]):
+            depth, shard = b["depth"].to_numpy(), b["shard"].to_numpy()
+            turns = np.flatnonzero((depth[1:] != depth[:-1]) | (shard[1:] != shard[:-1])) + 1
+            for lo, hi in zip(np.r_[0, turns], np.r_[turns, len(b)]):
                 part = b.iloc[lo:hi]
-                if held and held[-1]["shard"].iloc[0] != part["shard"].iloc[0]:
+                if not len(part):
+                    continue
+                if held and key(held[-1]) != key(part):
                     yield done(held)
                     held = []
                 held.append(part)
         if held:
             yield done(held)
 
-    shards = fps.select("fp").mapInPandas(emit, "shard int, fp bigint, flips tinyint")
-    return (shards.repartition(F.col("shard")).sortWithinPartitions("shard")
+    shards = fps.select("fp").mapInPandas(emit, "depth tinyint, shard bigint, fp bigint, flips tinyint")
+    return (shards.repartition("depth", "shard").sortWithinPartitions("depth", "shard")
             .mapInPandas(link, "a bigint, b bigint").distinct())
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,10 +187,34 @@ def test_simhash_shards_do_not_change_the_links(spark):
     for bits in (None, 3, 16):
         got = [tuple(r) for r in simhash.fingerprint_links(df, 4, bits).collect()]
         assert all((a ^ b).bit_count() <= 4 for a, b in got) and least_reachable(fps, got) == want
+    for hot in (2_000, 20_000):  # shards dealt again, over several levels
+        got = [tuple(r) for r in simhash.fingerprint_links(df, 4, 6, hot).collect()]
+        assert all((a ^ b).bit_count() <= 4 for a, b in got) and least_reachable(fps, got) == want
     with pytest.raises(ValueError):
         simhash.fingerprint_links(df, 3)
 
 
+def test_simhash_family_of_one_head_is_dealt_again(spark):
+    """Fingerprints that share their head do not meet in one task: no shard
+    that the levels leave is over its size, and all links stay."""
+    rng = np.random.default_rng(8)
+    fps = np.unique(np.uint64(0xABC << 52) | rng.integers(0, 2**52, 20_000).astype(np.uint64))
+    fps = np.unique(np.r_[fps, fps[:500] ^ np.uint64(0b1011 << 40)])
+    df = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)}))
+    levels = simhash._hot_levels(df, 12, 2, simhash.HOT)
+    assert [d for d, _ in levels] == [12] and 0xABC in levels[0][1]
+    parts = list(simhash._shards(fps, levels, 12, 2))
+    for depth, _, prefix, flips in parts:
+        weight = np.array([simhash._ball(64 - depth, 2 - f) for f in range(3)])[flips]
+        assert not len(prefix) or np.bincount(np.unique(prefix, return_inverse=True)[1], weight).max() <= simhash.HOT
+    got = [tuple(r) for r in simhash.fingerprint_links(df, 4, 12).collect()]
+    linked = {frozenset(p) for p in got}
+    value, other = fps.view(np.int64).tolist(), (fps ^ np.uint64(0b1011 << 40)).view(np.int64).tolist()
+    known = set(value)
+    want = {frozenset(p) for p in zip(value, other) if p[1] in known}
+    assert len(want) >= 500 and want <= linked
+
+
 # --- op3 -----------------------------------------------------------------
 
 LONG = "A sentence, with commas, that is long enough to be taken for prose, and then some more words."
@@ -378,6 +403,17 @@ def test_entire_texts_by_digest_and_notice_lines_of_every_known_id(spark):
 
 # --- op6 -----------------------------------------------------------------
 
+def test_line_dedup_of_a_document_that_loses_very_many_lines(spark):
+    """30,000 of its 90,000 lines go: the look-up is one pass over the lines."""
+    lines = [f"{i} this line stands in more than one of the documents" for i in range(30_000)]
+    most = "\n".join(f"{line}\nshort {i}\n{line[::-1]} alone" for i, line in enumerate(lines))
+    rows = [(1, most), *[(i, "\n".join(lines)) for i in range(2, 6)], (9, "\n".join(lines))]
+    got = {r["doc_id"]: r for r in line_dedup.keep_lines(docs(spark, rows)).collect()}
+    want = "\n".join(f"short {i}\n{line[::-1]} alone" for i, line in enumerate(lines))
+    assert got[1]["text"] == want and tuple(got[1]["line_dedup"]) == (90_000, 30_000)
+    assert got[9]["text"] == rows[-1][1] and got[2]["text"] == ""
+
+
 def test_line_dedup_hand_case(spark):
     line = "The same long line that stands in many documents."
     rows = [(i, f"own {i}\n  {line.upper()}\t\nend {i}") for i in range(1, 7)]
