@@ -124,6 +124,26 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return found.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 
+def _stays():
+    """Of every line of a document, whether its hash is not among the lost
+    ones: one sorted look-up for all lines, so that a document of a million
+    lines that loses many costs what its lines cost."""
+    def run(h1: pd.Series, h2: pd.Series, gone1: pd.Series, gone2: pd.Series) -> pd.Series:
+        out = []
+        for a1, a2, g1, g2 in zip(h1, h2, gone1, gone2):
+            if a1 is None:
+                out.append(None)
+                continue
+            stay = ~np.isin(a1, g1)
+            lost = set(zip(g1.tolist(), g2.tolist()))
+            for i in np.flatnonzero(~stay):
+                stay[i] = (int(a1[i]), int(a2[i])) not in lost
+            out.append(stay)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<boolean>")
+
+
 def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                min_docs: int = MIN_DOCS, stats: str | None = "line_dedup", **sizes: int) -> DataFrame:
     """The columns of ``docs`` with their text replaced by the lines that stay,
@@ -139,12 +159,13 @@ def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__line_id"), "left")
     lines = _lines(F.col(f"`{text_col}`"))
 
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("__line_gone"), _hash(key))
-
-    kept = F.when(F.col("__line_gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    out = joined.withColumn("__kept", kept)
+    keys = F.when(F.col("__line_gone").isNotNull(), F.transform(lines, line_key))
+    half = lambda h: F.transform(keys, lambda k: _hash(k)[h])
+    stays = _stays()(half("h1"), half("h2"), F.col("__line_gone.h1"), F.col("__line_gone.h2"))
+    stays = F.transform(F.arrays_zip(keys.alias("k"), stays.alias("s")),
+                        lambda z: (F.length(z["k"]) < min_chars) | z["s"])
+    left = F.transform(F.filter(F.arrays_zip(lines.alias("l"), stays.alias("s")), lambda z: z["s"]), lambda z: z["l"])
+    out = joined.withColumn("__kept", F.when(F.col("__line_gone").isNull(), lines).otherwise(left))
     counts = F.struct(F.size(lines).cast("bigint").alias("n_lines"),
                       (F.size(lines) - F.size("__kept")).cast("bigint").alias("n_dropped"))
     columns = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns
