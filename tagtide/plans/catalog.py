@@ -29,10 +29,12 @@ from tagtide.session import materialize, read_table, scratch_path, small_table
 from tagtide.sources.corpus import (DEFAULT_TARGETS, PART_SUFFIXES, corpus_files, iob_lines, language_counts, load_corpus,
                                     of_languages, registry, tagged_tokens)
 from tagtide.sources.iob import read_predictions, sentence_block, write_predictions
-from tagtide.streaming.feeds import conversation_lines, stream_lines, stream_score
+from tagtide.sources.stored import pair, store
+from tagtide.streaming.feeds import LINE_SCHEMA, conversation_lines, stream_lines, stream_score
 from tagtide.streaming.jobs import job_runs, read_runs, stream_runs
 from tagtide.streaming.status import (EVENT_TERMINAL_STATES, all_terminal, first_state, job_events,
                                       latest_state, read_published, stream_latest_state, stream_watch)
+from tagtide.streaming.tail import stream_tail
 
 SPLIT_ORDER = ["part_rank", "doc_id", "line_no"]
 MIX_K = 10
@@ -474,6 +476,35 @@ def stream_score_q(spark: SparkSession, sf: str) -> DataFrame:
     return read_published(spark, table).select(*SCORE_COLS)
 
 
+def stream_score_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences delivered, scored, delivered again in new files and scored
+    on: the second delivery changes nothing."""
+    sents = corpus(spark, sf).select("lang", "doc_id", "line_no", "gold", "pred")
+    src, table, ckpt = (scratch_path(spark, n) for n in ("once-src", "once", "once-ckpt"))
+    for _ in range(2):
+        sents.write.mode("append").parquet(src)
+        stream_score(spark, src, table, ckpt, once_within="1 day")
+    return read_published(spark, table).select(*SCORE_COLS)
+
+
+def stream_tail_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation lines as records of text files that are followed by byte."""
+    lines = conversation_lines(read_table(spark, sf, "conversations"))
+    src, table, ckpt = (scratch_path(spark, n) for n in ("tail-src", "tail", "tail-ckpt"))
+    record = F.to_json(F.struct(*lines.columns), {"ignoreNullFields": "false"})
+    lines.select(record.alias("value")).write.text(src)
+    stream_tail(spark, src, table, ckpt)
+    return spark.read.parquet(table).select(F.from_json("line", LINE_SCHEMA).alias("r")).select("r.*")
+
+
+def stored_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold and predicted tags stored apart and paired again by position."""
+    key = ["lang", "part_rank", "doc_id", "line_no"]
+    c = corpus(spark, sf)
+    gold, pred = (spark.table(store(c.select(*key, side), side, key)) for side in ("gold", "pred"))
+    return score(pair(gold, pred, key), ["lang"]).select("lang", *SCORE_COLS)
+
+
 # ---- token classifier ----------------------------------------------------------
 
 def token_features_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -604,6 +635,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_job_runs": stream_job_runs,
     "stream_lines": stream_lines_q,
     "stream_score": stream_score_q,
+    "stream_score_once": stream_score_once,
+    "stream_tail_lines": stream_tail_lines,
+    "stored_score": stored_score,
     "majority_tagger": majority_tagger,
     "per_target_tagger": per_target_tagger,
     "target_training_loss": target_training_loss,

@@ -709,6 +709,9 @@ GROUP BY s.lang, s.doc_id, s.line_no""",
         "stream_job_runs": _runs(),
         "stream_lines": LINES,
         "stream_score": _score(),
+        "stream_score_once": _score(),
+        "stream_tail_lines": LINES,
+        "stored_score": _score("lang"),
         "corpus_languages": f"""WITH {REG}
 SELECT lang, COALESCE(lang IN (SELECT lang FROM reg), FALSE) AS registered, COUNT(*) AS n_docs
 FROM documents GROUP BY lang""",

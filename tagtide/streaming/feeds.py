@@ -36,10 +36,22 @@ SENTENCE_SCHEMA = "lang string, doc_id bigint, line_no bigint, gold array<string
 COUNT_COLS = ["n_pred", "n_gold", "tp", "n_tok", "n_eq"]
 
 
+SENTENCE_KEY = ["lang", "doc_id", "line_no"]
+
+
 def stream_score(spark: SparkSession, source: str, table: str, checkpoint: str,
-                 files_per_trigger: int | None = None) -> None:
-    """Running span score over sentence files: per-sentence counts, summed in state."""
+                 files_per_trigger: int | None = None, once_within: str | None = None) -> None:
+    """Running span score over sentence files: per-sentence counts, summed in state.
+
+    With ``once_within`` (an interval) a sentence counts once, whichever file
+    brings it again within that time of its first file, by the files' times:
+    a key's state goes when the interval is over.  The files are taken in the
+    order of their times, so only a file put in with an old time is late; its
+    sentences are left out."""
     sents = file_stream(spark, SENTENCE_SCHEMA, files_per_trigger).parquet(source)
+    if once_within:
+        timed = sents.select("*", F.col("_metadata.file_modification_time").alias("_file_time"))
+        sents = timed.withWatermark("_file_time", once_within).dropDuplicatesWithinWatermark(SENTENCE_KEY)
     counts = with_span_counts(sents, "gold", "pred")
     totals = counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNT_COLS])
 
