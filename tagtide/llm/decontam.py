@@ -147,9 +147,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      min_tokens: int = 7, **settings: int) -> DataFrame:
+                      min_tokens: int = 1, **settings: int) -> DataFrame:
     """The rows of ``docs`` whose text overlaps no test item of ``min_tokens``
-    or more; a shorter one (a name, a common phrase) stands in clean texts too."""
+    or more: raise it where short ones (names, common phrases) stand in clean
+    texts too."""
     text = F.col(f"`{text_col}`").cast("string")
     hit = overlaps(docs.select(F.xxhash64(F.lit(5), text).alias("id"), text.alias("text")),
                    benchmark.select(F.col("item_id").alias("item"), "text").where("item is not null"), **settings)
