@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no item of ``benchmark`` of seven tokens or more."""
-    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"), min_tokens=7)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
