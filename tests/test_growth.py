@@ -111,3 +111,21 @@ def test_tags_need_a_digit_search_only_in_lines_with_one(spark):
     assert got == [(["O", "B-PER", "O", "B-PER", "B-LOC", "I-LOC", "B-ORG", "B-PER"],
                     ["O", "O", "O", "O", "B-LOC", "I-LOC", "B-ORG", "B-PER"]),
                    (["O", "B-PER", "O", "B-ORG"], ["O", "B-PER", "B-ORG", "I-ORG"]), ([], []), (["B-LOC"], ["B-LOC"])]
+
+
+def test_classifier_hashes_training_tokens_once_and_predicts_test_tokens_once(spark, monkeypatch):
+    from tagtide.operators import model
+    from tagtide.operators.metrics import score
+    rows = [("en", d, n, ["Ann", f"of{d}", "Rome", "9"][: n + 2], ["B-PER", "O", "B-LOC", "O"][: n + 2]) for d in range(8) for n in range(3)]
+    s = spark.createDataFrame(rows, "lang string, doc_id bigint, line_no bigint, words array<string>, gold array<string>")
+    train, test = s.where("doc_id < 5"), s.where("doc_id >= 5")
+    fit = model.build(4).fit(model.token_features(train))
+    plain = fit.transform(model.token_features(test))
+    want, loss = score(model.predicted_sentences(plain)).first(), model.held_out_loss(plain).first().test_loss
+    seen, featured, features = _kept(monkeypatch, model), [], model.token_features
+    monkeypatch.setattr(model, "token_features", lambda df, *a: featured.append(df) or features(df, *a))
+    monkeypatch.setattr(model, "held_out_loss", None)
+    got = model.train_and_score(train, test, 4).first()
+    assert {k: df.columns for k, df in seen.items()} == {"train-features": ["features", "label"]} and len(featured) == 2
+    assert (got.n_train_tokens, got.n_test_tokens) == (45, 27) and (got.precision, got.f1) == (want.precision, want.f1)
+    assert got.test_loss == pytest.approx(loss) and got.final_loss == pytest.approx(fit.stages[-1].summary.objectiveHistory[-1])
